@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, packing, sharding, simhash, token_store
+from millrace.llm import chat, order_minhash, packing, quality, secrets, sharding, simhash, token_store
 from millrace.llm._common import new_path, prepare
 
 #: Place of the public tokenizers' files.
@@ -26,6 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(secrets.count_kind("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secrets.as_text("base"), 256).alias("base_sha256"),
+        secrets.as_text("spans").alias("spans"),
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,6 +48,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.with_next(table(spark, sf_dir, "documents"))
+
+
 def op7_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, order_minhash, packing, quality, secrets, sharding, simhash, token_store
+from millrace.llm import chat, order_minhash, packing, quality, secrets, sharding, simhash, substrings, token_store
 from millrace.llm._common import new_path, prepare
 
 #: Place of the public tokenizers' files.
@@ -57,6 +57,10 @@ def op7_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     uri = new_path(spark, "token-store")

@@ -32,34 +32,27 @@ _LETTER, _MARK = "A-Za-z0-9À-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 _PIECE = re.compile(rf"\s*[{_LETTER}]++(?=[\s{_MARK}]|\Z)|\s*[{_MARK}]++(?=[\s{_LETTER}]|\Z)|\s*\S+|\s+")
 
 
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+def vocabulary(tokenizer: Tokenizer) -> list[str]:
+    """Tokens in the order of their ids."""
+    out = [""] * (max(tokenizer.get_vocab().values(), default=-1) + 1)
+    for token, i in tokenizer.get_vocab().items():
+        out[i] = token
+    return out
 
-    _known: dict[str, Encoder] = {}
 
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        self.cuts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec["model"]["type"] == "BPE" and not any(
-            t.get("lstrip") or t.get("rstrip") or any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", [])
-        )
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.opens = np.zeros(size, dtype=bool)  # ids that begin with a space
-        for token, i in self.tokenizer.get_vocab().items():
-            self.opens[i] = token.startswith("Ġ")
-        self.size = size
+class Pieces:
+    """Encodes texts by pieces, and keeps the ids of those in use."""
+
+    def __init__(self, tokenizer: Tokenizer, piece: re.Pattern | None, space: str):
+        """``piece``: cuts a text into pieces that may be encoded apart; None: texts are encoded whole.  ``space``: how tokens write a space."""
+        self.tokenizer, self.piece = tokenizer, piece
+        self.opens = np.array([t.startswith(space) for t in vocabulary(tokenizer)])  # ids that begin with a space
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    @classmethod
-    def of(cls, path: str) -> Encoder:
-        """One encoder for each path in a process."""
-        if path not in cls._known:
-            cls._known[path] = cls(path)
-        return cls._known[path]
+    def uncut(self, text: str) -> bool:
+        """Whether a text must be encoded whole."""
+        return False
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,7 +75,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes an id."""
-        if not self.cuts:
+        if self.piece is None:
             return self._whole(texts)
         out: list[bytes] = []
         for lo, hi in rows_below(np.fromiter(map(len, texts), np.int64, len(texts)), GROUP_CHARS):
@@ -90,8 +83,8 @@ class Encoder:
         return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        odd = {i for i, t in enumerate(texts) if _ODD.search(t) or any(s in t for s in self.special)}
-        cut = [_PIECE.findall(t) if i not in odd else [] for i, t in enumerate(texts)]
+        odd = {i for i, t in enumerate(texts) if self.uncut(t)}
+        cut = [self.piece.findall(t) if i not in odd else [] for i, t in enumerate(texts)]
         seen: set[str] = set()
         for c in cut:
             seen.update(c)
@@ -110,3 +103,30 @@ class Encoder:
         for i in odd:
             out[i] = self._whole([texts[i]])[0]
         return out
+
+
+class Encoder(Pieces):
+    """Ids of a byte-level BPE (or, uncut, of any tokenizer file) as little-endian unsigned 32-bit integers."""
+
+    _known: dict[str, Encoder] = {}
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = spec.get("pre_tokenizer") or {}
+        cuts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec["model"]["type"] == "BPE" and not any(
+            t.get("lstrip") or t.get("rstrip") or any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", [])
+        )
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        super().__init__(Tokenizer.from_file(path), _PIECE if cuts else None, "Ġ")
+        self.size = len(self.opens)
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """One encoder for each path in a process."""
+        if path not in cls._known:
+            cls._known[path] = cls(path)
+        return cls._known[path]
+
+    def uncut(self, text: str) -> bool:
+        return _ODD.search(text) is not None or any(s in text for s in self.special)

@@ -11,7 +11,7 @@ are counted and joined back, and only their windows go on, as segments of words
 around one anchor, to the shard of the anchor.  An anchor that very many
 documents have sends its windows one by one, each to the shard of its own hash,
 so it does not fill a shard.  Equal segments are merged before the exchange,
-keeping the least id.
+keeping the least id, and sent compressed.
 
 In a shard, the distinct segments are indexed and then streamed through the
 index: backward search over the wavelet matrix gives, for each place, how much
@@ -32,11 +32,14 @@ any; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +53,10 @@ ANCHOR = 5
 HOT = 1000
 #: Words of a shard, about.
 SHARD_WORDS = 150_000
+#: Shards whose segments one task of the exchange takes.
+SHARDS_PER_TASK = 8
+#: Bits of the set of shared anchors that tasks hold: a fixed size.  It only saves sending anchors that no join would keep.
+BITMAP_BITS = 1 << 26
 HIGHEST = 2**63 - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,13 +78,31 @@ def anchors(block: Block, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return whole, doc[whole], least[whole]
 
 
-def _anchor_rows(window: int):
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """A set of hashes of the column ``a``, of a fixed size: it may hold more, and holds all."""
+    at = F.pmod(F.col("a"), F.lit(BITMAP_BITS))
+    words = keys.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(a, 64) AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(BITMAP_BITS // 64, np.uint64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(BITMAP_BITS - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _anchor_rows(window: int, known: Broadcast | None = None):
+    """Anchors of each document; with a bitmap, only those that it may hold."""
+
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         found, rows = [], []
         for block in blocks(batch.column(2)):
             _, doc, anchor = anchors(block, window)
             new = np.ones(len(doc), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+            if known is not None:
+                new &= in_bitmap(known.value, anchor)
             found.append(anchor[new].view(np.int64))
             rows.append(doc[new] + block.lo)
         take = pa.array(np.concatenate(rows))
@@ -127,24 +152,53 @@ class _Segments:
                 yield int(some[block.lo + d]), first, xxhash.xxh64_intdigest(seg) - (1 << 63) if single else key, seg
 
 
-def _segment_rows(window: int):
-    """Distinct segments of a batch with the least rank that has them."""
+def _segment_rows(window: int, shards: int):
+    """Distinct segments of a batch with the least and greatest ranks that have them, compressed for each task of the exchange."""
+    tasks = task_count(shards)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array] | None:
         ranks = int64s(batch.column("rank")).tolist()
-        least: dict[bytes, int] = {}
-        key_of: dict[bytes, int] = {}
+        found: dict[bytes, list[int]] = {}
         for row, _, key, seg in _Segments(batch, window, False):
-            if ranks[row] < least.get(seg, HIGHEST + 1):
-                least[seg] = ranks[row]
-                key_of[seg] = key
-        if not least:
+            rank = ranks[row]
+            held = found.get(seg)
+            if held is None:
+                found[seg] = [rank, rank, key]
+            else:
+                held[0], held[1] = min(held[0], rank), max(held[1], rank)
+        if not found:
             return None
-        return [pa.array(list(key_of.values()), pa.int64()), pa.array(list(least), pa.binary()), pa.array(list(least.values()), pa.int64())]
+        segments = list(found)
+        numbers = np.array(list(found.values()), np.int64)
+        shard = (mix(numbers[:, 2].view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard % tasks, kind="stable")
+        edges = np.flatnonzero(np.diff((shard % tasks)[order], prepend=-1, append=-1))
+        to, payloads = [], []
+        for lo, hi in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+            rows = order[lo:hi]
+            to.append(int(shard[rows[0]] % tasks))
+            payloads.append(packed(shard[rows], numbers[rows, 0], numbers[rows, 1], [segments[i] for i in rows.tolist()]))
+        return [pa.array(to, pa.int32()), pa.array(payloads, pa.binary())]
 
     return run
 
 
+def task_count(shards: int) -> int:
+    return -(-shards // SHARDS_PER_TASK)
+
+
+def packed(shard: np.ndarray, first: np.ndarray, last: np.ndarray, segments: list[bytes]) -> bytes:
+    head = np.concatenate([[len(segments)], shard, first, last]).astype("<i8").tobytes()
+    return zlib.compress(head + b"\n".join(segments), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    data = zlib.decompress(data)
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    numbers = np.frombuffer(data, "<i8", 3 * n, 8).reshape(3, n)
+    return *numbers, data[8 * (3 * n + 1) :].split(b"\n")
+
+
 def _occurrence_rows(window: int):
     def run(batch: pa.RecordBatch) -> list[pa.Array] | None:
         found = [(xxhash.xxh3_128_digest(seg), row, first) for row, first, _, seg in _Segments(batch, window, True)]
@@ -183,30 +237,26 @@ def shard_least(segments: list[bytes], least: np.ndarray, window: int) -> list[n
 
 
 def _shard_results(window: int):
-    """From rows sorted by shard: the least ranks of each distinct segment's windows, if several documents may have one."""
-
-    def results(rows: list[tuple[bytes, int]]) -> pa.RecordBatch:
-        least: dict[bytes, int] = {}
-        for seg, rank in rows:
-            if rank < least.get(seg, HIGHEST + 1):
-                least[seg] = rank
-        segments = list(least)
-        found = shard_least(segments, np.array(list(least.values()), np.int64), window)
-        ids = pa.array([xxhash.xxh3_128_digest(s) for s in segments], pa.binary())
-        return pa.RecordBatch.from_arrays([ids, pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], names=["seg_id", "least"])
+    """The least ranks of each distinct segment's windows, if one of them is below a rank that has the segment."""
+
+    def results(rows: dict[bytes, list[int]]) -> pa.RecordBatch:
+        segments = list(rows)
+        numbers = np.array(list(rows.values()), np.int64)
+        found = shard_least(segments, numbers[:, 0], window)
+        useful = [i for i, x in enumerate(found) if len(x) and x.min() < numbers[i, 1]]
+        ids = pa.array([xxhash.xxh3_128_digest(segments[i]) for i in useful], pa.binary())
+        return pa.RecordBatch.from_arrays([ids, pa.array([found[i].tolist() for i in useful], pa.list_(pa.int64()))], names=["seg_id", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, int]] = []
-        shard = None
+        held: dict[int, dict[bytes, list[int]]] = {}
         for b in batches:
-            for s, seg, rank in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if s != shard and held:
-                    yield results(held)
-                    held = []
-                shard = s
-                held.append((seg, rank))
-        if held:
-            yield results(held)
+            for payload in b.column(0):
+                for shard, first, last, seg in zip(*(x if isinstance(x, list) else x.tolist() for x in unpacked(payload.as_py())), strict=True):
+                    rows = held.setdefault(shard, {})
+                    old = rows.get(seg)
+                    rows[seg] = [first, last] if old is None else [min(first, old[0]), max(last, old[1])]
+        while held:
+            yield results(held.popitem()[1])
 
     return run
 
@@ -232,7 +282,8 @@ def _kept(window: int, with_text: bool):
             digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             if with_text:
                 kept_texts.append(b" ".join(kept) if removed else text)
-        out = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests)]
+        ids = pa.compute.if_else(batch.column("no_id"), pa.scalar(None, pa.int64()), batch.column("rank"))
+        out = [ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests)]
         if with_text:
             out += [pa.array(kept_texts, pa.binary()).cast(pa.string()), *(c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n.startswith("carry_"))]
         return out
@@ -249,28 +300,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = prepare(docs.sparkSession)
     key = F.col(id_col).cast("long")
     source = docs.select(
-        key.alias("doc_id"),
         F.coalesce(key, F.lit(HIGHEST)).alias("rank"),
         F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"),
         F.col(text_col).alias("text"),
+        key.isNull().alias("no_id"),
         *(F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry or [])),
     )
-    found = map_arrow(source.select("rank", "h", "text"), _anchor_rows(window), "a long, rank long, h long")
-    shared = found.groupBy("a").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
-    shared = durable(shared.select("a", "first", "n"), "anchors")
+    texts, anchor_schema = source.select("rank", "h", "text"), "a long, rank long, h long"
+    counted = map_arrow(texts, _anchor_rows(window), anchor_schema).groupBy("a").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count(F.lit(1)).alias("n"))
+    shared = durable(counted.where("first < last").select("a", "first", "n"), "anchors")
     total = shared.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total * 12 // SHARD_WORDS))
+    found = map_arrow(texts, _anchor_rows(window, spark.sparkContext.broadcast(bitmap(shared))), anchor_schema)
     struct = F.struct("a", (F.col("n") > HOT).alias("hot"), (F.col("first") < F.col("rank")).alias("query"))
     of_doc = found.join(shared, "a").groupBy(F.col("rank").alias("r"), F.col("h").alias("g")).agg(F.collect_set(struct).alias("shared"))
+    # the same exchange of whole rows serves all three uses of the texts
     moved = source.repartition("rank", "h")
-    joined = moved.join(of_doc, (F.col("rank") == F.col("r")) & (F.col("h") == F.col("g")), "left").select("rank", "h", "text", "shared")
-    segments = map_arrow(joined, _segment_rows(window), "a long, seg binary, first long")
-    sharded = segments.select(F.pmod(F.xxhash64("a"), F.lit(shards)).alias("shard"), "seg", "first").repartition("shard").sortWithinPartitions("shard")
+    joined = moved.join(of_doc, (F.col("rank") == F.col("r")) & (F.col("h") == F.col("g")), "left").drop("r", "g")
+    segments = map_arrow(joined, _segment_rows(window, shards), "part int, payload binary")
+    sharded = segments.repartitionById(task_count(shards), F.col("part")).select("payload")
     least = sharded.mapInArrow(_shard_results(window), "seg_id binary, least array<long>")
     occurrences = map_arrow(joined, _occurrence_rows(window), "seg_id binary, rank long, h long, first int")
     hits = occurrences.join(least, "seg_id").select("rank", "h", F.expr("transform(filter(transform(least, (x, i) -> IF(x < rank, i, -1)), i -> i >= 0), i -> i + first)").alias("at"))
     removed = hits.where("size(at) > 0").groupBy(F.col("rank").alias("r"), F.col("h").alias("g")).agg(F.flatten(F.collect_list("at")).alias("removed"))
-    ended = moved.join(removed, (F.col("rank") == F.col("r")) & (F.col("h") == F.col("g")), "left").drop("r", "g", "rank", "h")
+    ended = moved.join(removed, (F.col("rank") == F.col("r")) & (F.col("h") == F.col("g")), "left").drop("r", "g")
     if carry is None:
         return map_arrow(ended, _kept(window, False), OUT)
     kinds = dict(docs.dtypes)

@@ -96,16 +96,17 @@ class FMIndex:
         found = self.matrix.ranks(codes, np.stack([lo, hi]))
         return self.first[codes] + found[0], self.first[codes] + found[1]
 
-    def matching(self, codes: np.ndarray, room: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Backward search from every place of a streamed text, up to ``length`` symbols.
+    def matching(self, codes: np.ndarray, room: np.ndarray, length: int, least_room: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Backward search from the places of a streamed text, up to ``length`` symbols.
 
         ``room``: how many symbols a match that ends at the place may have (the
-        place's own included).  Returns the matching statistics (the length of
+        place's own included); places with less than ``least_room`` are left out,
+        as none that a match of interest ends at.  Returns the matching statistics (the length of
         the longest match that ends there, at most ``length``) and its interval.
         """
         n = len(codes)
         matched, lo, hi = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, self.size, np.int64)
-        live = np.arange(n)
+        live = np.flatnonzero(room >= least_room)
         for step in range(length):
             live = live[room[live] > step]
             symbol = codes[live - step]

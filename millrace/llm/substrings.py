@@ -213,7 +213,6 @@ def _occurrence_rows(window: int):
 
 def shard_least(segments: list[bytes], least: np.ndarray, window: int) -> list[np.ndarray]:
     """For each of a shard's distinct segments, the least rank that has each of its windows."""
-    index = streamed = None
     text = Block(np.frombuffer(b"\n".join(segments), np.uint8), np.zeros(0, np.int64), 0, 0)
     lengths = np.array([len(s) for s in segments], np.int64)
     starts = np.cumsum(lengths + 1) - lengths - 1
@@ -223,7 +222,7 @@ def shard_least(segments: list[bytes], least: np.ndarray, window: int) -> list[n
     index = FMIndex(symbols, counts, window)
     streamed = index.codes(symbols)
     room = np.arange(len(symbols)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
-    matched, lo, hi = index.matching(streamed, room, window)
+    matched, lo, hi = index.matching(streamed, room, window, window)
     of_suffix = np.append(least[index.segment_of[index.suffixes]], HIGHEST)
     full = np.flatnonzero(matched >= window)
     edges, which = np.unique(lo[full], return_inverse=True)

@@ -2,7 +2,8 @@
 
 Words and pairs of words are hashed into ``BUCKETS`` buckets.  The raw
 multinomial counts them over all documents, the target multinomial over trusted
-documents; the target is smoothed with a share of the raw one.  A document's
+documents; both are smoothed by added counts, scaled to the target's total, and
+leave out the document that is judged.  A document's
 score is the mean log-likelihood ratio of its n-grams (with a few neutral ones,
 so that short documents need more evidence); it is kept if it fails no base
 rule and its score is at least the threshold.  The same table gives the same verdicts.
@@ -31,8 +32,8 @@ from millrace.llm._text import IS_LEAD, Block, blocks, combine, mix
 BUCKETS = 1 << 14
 #: Bound of the labelled sample that the target multinomial is fitted on.
 MOST_TRUSTED = 50_000
-#: Share of the raw multinomial in the target's.
-SMOOTHING = 0.1
+#: Counts added to each bucket of both multinomials, so that buckets of little evidence count little.
+ADDED = 8.0
 THRESHOLD = -0.12
 #: Neutral n-grams added to each document, so that a short one needs more evidence.
 NEUTRAL = 20
@@ -104,6 +105,10 @@ def _ready(column: pa.Array) -> Iterator[Block]:
         yield block
 
 
+def is_trusted(column: pa.Array, ids: np.ndarray) -> np.ndarray:
+    return np.isin(int64s(column.fill_null(0)), ids) & ~column.is_null().to_numpy(zero_copy_only=False)
+
+
 def count_grams(docs: DataFrame, trusted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts of all n-grams by bucket, over all documents and over the trusted: a fixed number of counts."""
     ids = docs.sparkSession.sparkContext.broadcast(trusted)
@@ -111,7 +116,7 @@ def count_grams(docs: DataFrame, trusted: np.ndarray) -> tuple[np.ndarray, np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in batches:
-            known = np.isin(int64s(b.column(0).fill_null(0)), ids.value) & ~b.column(0).is_null().to_numpy(zero_copy_only=False)
+            known = is_trusted(b.column(0), ids.value)
             for block in _ready(b.column(1)):
                 bucket, doc = grams(block)
                 bucket = bucket.astype(np.int64)
@@ -129,13 +134,22 @@ def count_grams(docs: DataFrame, trusted: np.ndarray) -> tuple[np.ndarray, np.nd
     return raw, target
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log ratio of the smoothed target multinomial to the raw one, by bucket."""
-    if not target.sum() or not raw.sum():
-        return np.zeros(BUCKETS)
-    p, q = raw / raw.sum(), target / target.sum()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(p > 0, np.log(((1 - SMOOTHING) * q + SMOOTHING * p) / p), 0.0)
+def scores(block: Block, raw: np.ndarray, target: np.ndarray, trusted: np.ndarray) -> np.ndarray:
+    """Mean log ratio of the target to the raw multinomial over each document's n-grams.
+
+    A document is judged by the counts of the others: its own are left out of
+    the raw counts, and of the target's if it is trusted.
+    """
+    bucket, doc = grams(block)
+    n = np.bincount(doc, minlength=len(block.counts))
+    if not target.sum():
+        return np.zeros(len(n))
+    pairs, own = np.unique(doc * BUCKETS + bucket.astype(np.int64), return_counts=True)
+    doc, bucket = np.divmod(pairs, BUCKETS)
+    expected = (raw[bucket] - own) * (target.sum() / raw.sum())
+    found = target[bucket] - own * trusted[doc]
+    ratios = np.log((found + ADDED) / (expected + ADDED))
+    return np.bincount(doc, weights=ratios * own, minlength=len(n)) / (n + NEUTRAL)
 
 
 def trusted_ids(labels: DataFrame) -> np.ndarray:
@@ -151,22 +165,22 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """``doc_id``, the base measures, ``base_failed, kept, score`` of every document, and the columns to carry."""
     prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(*count_grams(source, trusted_ids(labels))))
+    trusted = trusted_ids(labels)
+    counts = docs.sparkSession.sparkContext.broadcast((*count_grams(source, trusted), trusted))
     carry = carry or []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             measures: dict[str, list] = {m: [] for m in MEASURES}
-            scores = []
+            raw, target, ids = counts.value
+            known, found = is_trusted(b.column(0), ids), []
             for block in _ready(b.column(1)):
                 for m, x in base_rules(block).items():
                     measures[m].append(x)
-                bucket, doc = grams(block)
-                n = np.bincount(doc, minlength=len(block.counts))
-                scores.append(np.bincount(doc, weights=ratios.value[bucket.astype(np.int64)], minlength=len(n)) / (n + NEUTRAL))
+                found.append(scores(block, raw, target, known[block.lo : block.hi]))
             m = {k: np.concatenate(v).astype(np.int64) for k, v in measures.items()}
-            score = np.concatenate(scores)
+            score = np.concatenate(found)
             failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED_PERCENT * m["n_words"])
             columns = [b.column(0), *(pa.array(m[k]) for k in MEASURES), pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score), *b.columns[2:]]
             names = ["doc_id", *MEASURES, "base_failed", "kept", "score", *(f"carry_{i}" for i in range(len(carry)))]

@@ -61,8 +61,8 @@ def test_null_ids(spark):
     assert got == [("4", "4"), ("None", "4"), ("None", "None")]
 
 
-@pytest.mark.parametrize("most, cost", [(4096, 40.0), (4096, 0.001), (20, 40.0), (4, 0.5)])
-def test_links_join_what_brute_force_joins(spark, monkeypatch, most, cost):
+@pytest.mark.parametrize("most, cost, tau", [(4096, 40.0, 3), (4096, 0.001, 3), (20, 40.0, 3), (4, 0.5, 3), (4096, 40.0, 7), (60, 40.0, 7), (4096, 40.0, 5)])
+def test_links_join_what_brute_force_joins(spark, monkeypatch, most, cost, tau):
     monkeypatch.setattr(simhash, "MOST_IN_GROUP", most)
     monkeypatch.setattr(simhash, "PROBE_COST", cost)
     rng = random.Random(most)
@@ -74,10 +74,32 @@ def test_links_join_what_brute_force_joins(spark, monkeypatch, most, cost):
                 x ^= 1 << b
             fps.add(x)
     signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
-    classes = spark.createDataFrame([(s,) for s in signed.values()], "fp long")
-    got = {r.u: r.v for r in stars(simhash.links(classes)).collect()}
-    want = brute_components(fps, 3)
+    classes = spark.createDataFrame([(s, s) for s in signed.values()], "fp long, node long")
+    got = {r.u: r.v for r in stars(simhash.links(classes, tau)).collect()}
+    want = brute_components(fps, tau)
     groups = {}
     for f, root in want.items():
         groups.setdefault(root, set()).add(signed[f])
     assert {s: got.get(s, s) for s in signed.values()} == {s: min(g) for g in groups.values() for s in g}
+
+
+def test_confirmed_near_copies(spark):
+    """Texts of which one word in sixty is changed are linked; unrelated and half-changed ones are not."""
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randint(0, 5000))
+    rows, groups = [], []
+    for g in range(40):
+        words = [word() for _ in range(180)]
+        group = []
+        for c in range(4):
+            copy = list(words)
+            for i in rng.sample(range(180), 0 if c == 0 else 2 if c < 3 else 60):
+                copy[i] = word()
+            rows.append((len(rows), " ".join(copy)))
+            group.append(len(rows) - 1)
+        groups.append(group)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, tau=7, confirm=simhash.Confirm()).collect()}
+    caught = sum(got[d] == g[0] for g in groups for d in g[1:3])
+    assert caught >= 0.95 * 80
+    assert all(got[g[3]] == g[3] and got[g[0]] == g[0] for g in groups)

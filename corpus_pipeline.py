@@ -30,8 +30,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group."""
-    found = simhash.near_duplicates(docs)
+    """Keeps the document of the smallest id of each group.
+
+    Texts are near-duplicates from a similarity of 0.8 of their five-word
+    shingles on, as a longer SimHash tells it; candidates are found by the
+    fingerprints of three-word shingles within seven bits.
+    """
+    found = simhash.near_duplicates(docs, tau=7, confirm=simhash.Confirm(shingle=5, similarity=0.8))
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
@@ -45,9 +50,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every secret found."""
     found = secrets.find(docs, carry=["text", *REST])
-    text = secrets.masked(F.col("text"), "spans")
-    n_chars = F.when(F.size("spans") > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))
-    return found.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    masked = found.select("doc_id", secrets.masked(F.col("text"), "spans").alias("text"), *REST, (F.size("spans") > 0).alias("changed"))
+    n_chars = F.when(F.col("changed"), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return masked.select("doc_id", "text", "lang", "source", n_chars.alias("n_chars"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import chat, order_minhash, packing, quality, secrets, sentencepiece_codec, sharding, simhash, substrings, token_store
-from millrace.llm._common import new_path, prepare
+from millrace.llm._common import prepare
+from millrace.workspace import new_path
 
 #: Place of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -83,5 +84,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+#: The others need token ids, fingerprints or fitted verdicts, which SQL doesn't have; tests hold them against brute force.
+OP8_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), places AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM docs WHERE len(words) >= 13
+), windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(words, i, i + 12), ' ') AS w FROM places
+), firsts AS (
+  SELECT w, min(doc_id) AS first FROM windows GROUP BY w
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN firsts USING (w) WHERE first < doc_id
+), counted AS (
+  SELECT doc_id, count(*) AS n_removed FROM covered GROUP BY doc_id
+), left_over AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM docs) ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN counted USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_substring_dedup": OP8_SQL}

@@ -57,3 +57,12 @@ def test_carried_columns_and_texts(spark):
     df = spark.createDataFrame([(1, long, "x"), (2, f"keep\n{long} this", "y"), (3, "as\n\nis", None)], "doc_id long, text string, first string")
     got = {r.doc_id: (r.text, r["first"]) for r in substrings.remove_repeats(df, carry=["first"]).collect()}
     assert got == {1: (long, "x"), 2: ("keep this", "y"), 3: ("as\n\nis", None)}
+
+
+def test_query_matches_sql(spark):
+    from oracle import compare, connect
+
+    from millrace.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    compare(queries.op8_substring_dedup(spark, sf), connect(sf), queries.oracle_sql()["op8_substring_dedup"])

@@ -1,6 +1,7 @@
 """Sharding into ranges of near-equal bytes by histogram sort.
 
-The sort key is (hash of the text, id), so equal texts are neighbours.  The
+The sort key is (hash of the text, hash of the id), so equal texts are neighbours
+and keys spread evenly.  The
 exact bytes below candidate boundaries are counted over all partitions; each
 splitter's interval shrinks to the two candidates around its target, until one
 is within the tolerance or the interval holds a single row.  The final
@@ -20,6 +21,7 @@ fall among them for the sizes to be near equal.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
@@ -64,23 +66,30 @@ def ranks(keys: list[Key], high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return out
 
 
-def count_between(rows: DataFrame, keys: list[Key]) -> tuple[np.ndarray, np.ndarray]:
-    """Exact bytes and rows in each of the len(keys) + 1 intervals between sorted keys."""
+def count_between(rows: DataFrame, keys: list[Key]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the len(keys) + 1 intervals between sorted keys: exact bytes and rows, least and greatest first parts."""
+    names = ["i", "size", "n", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, n = np.zeros(len(keys) + 1, np.int64), np.zeros(len(keys) + 1, np.int64)
+        low, high = np.full(len(keys) + 1, HIGHEST), np.full(len(keys) + 1, LOWEST)
         for b in batches:
-            at = ranks(keys, int64s(b.column(0)), int64s(b.column(1)))
+            first = int64s(b.column(0))
+            at = ranks(keys, first, int64s(b.column(1)))
             np.add.at(size, at, int64s(b.column(2)))
             n += np.bincount(at, minlength=len(n))
+            np.minimum.at(low, at, first)
+            np.maximum.at(high, at, first)
         some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, size[some], n[some])], names=["i", "size", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, size[some], n[some], low[some], high[some])], names=names)
 
-    found = rows.select("high", "low", "size").mapInArrow(run, "i long, size long, n long").groupBy("i").agg(F.sum("size").alias("size"), F.sum("n").alias("n")).collect()
+    counted = rows.select("high", "low", "size").mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy("i")
+    found = counted.agg(F.sum("size").alias("size"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
     size, n = np.zeros(len(keys) + 1, np.int64), np.zeros(len(keys) + 1, np.int64)
+    low, high = np.full(len(keys) + 1, HIGHEST), np.full(len(keys) + 1, LOWEST)
     for r in found:
-        size[r.i], n[r.i] = r.size, r.n
-    return size, n
+        size[r.i], n[r.i], low[r.i], high[r.i] = r.size, r.n, r.low, r.high
+    return size, n, low, high
 
 
 def splitters(rows: DataFrame, shards: int, tolerance: float) -> list[Key]:
@@ -111,7 +120,7 @@ def splitters(rows: DataFrame, shards: int, tolerance: float) -> list[Key]:
             probes.update(min(max(guess + j * step, lo[i] + 1), hi[i] - 1) for j in range(-4, 5))
         tried = sorted(p for p in probes if p not in below)
         if tried:
-            size, n = count_between(rows, [_key(p) for p in tried])
+            size, n, low, high = count_between(rows, [_key(p) for p in tried])
             below.update(zip(tried, np.cumsum(size)[:-1].tolist(), strict=True))
             before.update(zip(tried, np.cumsum(n)[:-1].tolist(), strict=True))
         known = sorted(below)
@@ -119,6 +128,17 @@ def splitters(rows: DataFrame, shards: int, tolerance: float) -> list[Key]:
         for i in list(open_):
             at = int(np.searchsorted(sums, targets[i], "right")) - 1
             lo[i], hi[i] = known[at], known[min(at + 1, len(known) - 1)]
+            if tried:
+                # the rows' own first parts bound the interval: no row lies between the old bound and the new one
+                j = bisect.bisect_right(tried, lo[i])
+                if low[j] <= high[j]:
+                    least, most = max(lo[i], _number((int(low[j]), LOWEST))), min(hi[i], _number((int(high[j]), LOWEST)) + (1 << 64))
+                    if least < most:
+                        below.setdefault(least, below[lo[i]])
+                        before.setdefault(least, before[lo[i]])
+                        below.setdefault(most, below[hi[i]])
+                        before.setdefault(most, before[hi[i]])
+                        lo[i], hi[i] = least, most
             if min(targets[i] - below[lo[i]], below[hi[i]] - targets[i]) <= within or hi[i] - lo[i] <= 1 or before[hi[i]] - before[lo[i]] <= 1:
                 open_.discard(i)
         needed = {*lo, *hi}
@@ -130,7 +150,7 @@ def shard_rows(rows: DataFrame, shards: int, tolerance: float = 0.002) -> DataFr
     """Adds ``shard`` and ``slot`` to rows that have ``high, low, size`` (a durable table: it is read several times)."""
     cuts = splitters(rows, shards, tolerance)
     fine = sorted({*cuts, *(_key((1 << 128) * k // max(1, n)) for n in [math.ceil(rows.count() / RANGE_ROWS)] for k in range(1, n))})
-    _, n = count_between(rows, fine)
+    _, n, _, _ = count_between(rows, fine)
     # range r holds keys from fine[r - 1]; a shard begins at each of its cuts
     starts = [_number(c) for c in cuts]
     shard = np.array([0, *(sum(s <= _number(f) for s in starts) for f in fine)], np.int64)
@@ -168,7 +188,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(F.encode(text, "utf-8")), F.lit(0)).alias("text_crc32"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("high"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("low"),
+        F.xxhash64(F.col(id_col).cast("long")).alias("low"),
     )
     placed = shard_rows(durable(rows, "sizes"), shards, tolerance)
     return placed.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot")

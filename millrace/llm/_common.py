@@ -38,14 +38,14 @@ def rows_below(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` for a function of one batch to a list of columns, a batch or None."""
+def map_arrow(df: DataFrame, fn: Callable, schema: str, rows: int = 1 << 30) -> DataFrame:
+    """``mapInArrow`` for a function of one batch (of at most so many rows) to a list of columns, a batch or None."""
     names = [field.split()[0] for field in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            for at in range(0, batch.num_rows, rows):
+                out = fn(batch.slice(at, rows))
                 if out is not None:
                     yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_arrays(out, names=names)
 

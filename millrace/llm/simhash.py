@@ -51,6 +51,8 @@ LONGS = BITS // 64
 CONFIRM = [f"c{k}" for k in range(LONGS)]
 #: Rows of which one fingerprint may have this share before its rows are labelled apart; so few can, that they are broadcast.
 HOT_SHARE = 1000
+#: Fingerprints whose probes a worker makes at once.
+EMITTED_AT_ONCE = 2000
 _BLOCK = 1 << 15
 _OFFSETS = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64) for k in range(LONGS)]
 
@@ -408,7 +410,7 @@ def links(classes: DataFrame, tau: int = 3, confirm: Confirm | None = None) -> D
         return _emit(tau, parts, tables.value, hot)(batch)
 
     schema = "key long, role long, level long" + "".join(f", {c} long" for c in columns)
-    rows = map_arrow(classes.select(*columns), emit, schema)
+    rows = map_arrow(classes.select(*columns), emit, schema, EMITTED_AT_ONCE)
     if hot.any():
         rows = durable(rows, "probes")
     done = rows.where("level = 1")
@@ -425,7 +427,7 @@ def links(classes: DataFrame, tau: int = 3, confirm: Confirm | None = None) -> D
             take = pa.array(at)
             return [pa.array(keys), pa.array(roles), pa.array(np.full(len(keys), level + 1)), *(c.take(take) for c in batch.columns[3:])]
 
-        rows = durable(map_arrow(these.join(large, "key", "left_semi").select(*rows.columns), refine, schema), "probes")
+        rows = durable(map_arrow(these.join(large, "key", "left_semi").select(*rows.columns), refine, schema, EMITTED_AT_ONCE), "probes")
         level += 1
     if hot.any():
         done = done.union(rows.where(F.col("level") == level))

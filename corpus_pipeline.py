@@ -6,8 +6,8 @@ is packed into training sequences.  Each stage works on all that its
 predecessor kept; all but the last return the columns of ``documents``.
 
 Documents with null ids are documents like others: a near-duplicate group
-without any id keeps each of its distinct texts.  Rows equal in id and text
-count as one.
+without any id keeps one of its texts.  Rows equal in id and text count as
+one.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, quality, secrets, simhash, substrings
+from millrace.llm import near, packing, quality, secrets, substrings
 from millrace.llm._common import durable
 from millrace.llm.queries import table, tokenizer_file
 
@@ -30,15 +30,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group.
+    """Keeps one document of each group: of the least id, nulls last, and then of the least text hash.
 
-    Texts are near-duplicates from a similarity of 0.8 of their five-word
-    shingles on, as a longer SimHash tells it; candidates are found by the
-    fingerprints of three-word shingles within seven bits.
+    Texts are near-duplicates from a similarity of 0.8 of their sets of
+    five-word shingles on; each link is compared exactly.
     """
-    found = simhash.near_duplicates(docs, tau=7, confirm=simhash.Confirm(shingle=5, similarity=0.8))
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    keep = near.kept(docs, shingle=5, similarity=0.8).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash"))
+    return docs.join(keep, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,18 @@ def test_repeated_words_do_not_hide_different_sets(spark):
     rng = random.Random(5)
     texts = ["spam " * 400 + " ".join(f"w{rng.randint(0, 9999)}" for _ in range(60)) for _ in range(12)]
     assert kept_ids(spark, texts) == set(brute(texts)) == set(range(12))
+
+
+def test_recall_does_not_hang_on_the_table():
+    """Of 2000 pairs just above 0.8, bands miss few; the SimHash's allowance drops none."""
+    import numpy as np
+
+    rng = np.random.Generator(np.random.PCG64(1))
+    met = passed = 0
+    for _ in range(2000):
+        x = rng.integers(0, 1 << 64, 200, dtype=np.uint64)
+        y = np.concatenate([x[:178], rng.integers(0, 1 << 64, 22, dtype=np.uint64)])  # 178 of 222
+        met += bool((near.bands(x) == near.bands(y)).any())
+        longs = [[np.array([near.simhash.majority(near.mix(s + o)) for s in (x, y)], np.uint64)] for o in near.simhash._OFFSETS]
+        passed += bool(near._Near(np.array([200, 200]), [c for (c,) in longs], 0.8)(0, np.array([1]))[0])
+    assert met >= 1998 and passed >= 1999

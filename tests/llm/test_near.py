@@ -65,6 +65,17 @@ def test_repeated_words_do_not_hide_different_sets(spark):
     assert kept_ids(spark, texts) == set(brute(texts)) == set(range(12))
 
 
+def test_one_row_of_a_component_is_kept(spark):
+    """Also without ids, and where texts share an id."""
+    rng = random.Random(6)
+    a, b, c = (" ".join(f"w{rng.randint(0, 9999)}" for _ in range(150)) for _ in range(3))
+    rows = [(None, a), (None, a + " x"), (None, a), (None, b), (5, b + " x"), (None, b + " y"), (7, c), (7, c + " x"), (7, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(str(r.doc_id) for r in out) == ["5", "7", "None"]
+    assert next(r.text for r in out if r.doc_id == 5) == b + " x"
+
+
 def test_recall_does_not_hang_on_the_table():
     """Of 2000 pairs just above 0.8, bands miss few; the SimHash's allowance drops none."""
     import numpy as np

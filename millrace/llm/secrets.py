@@ -7,13 +7,19 @@ The battery takes every run of 20 or more token characters and infers its
 encoding: the least of the known alphabets that holds it.  Three tests over its
 symbols measure how far it is from random: chi-squared uniformity over the
 alphabet, the number of runs above and below the alphabet's middle, and serial
-correlation.  Each gives the p-value of the hypothesis that the token is as far
-from random as text is (not uniform by ``EFFECT`` per symbol, runs off by
-``RUNS_OFF`` of the length, correlation of ``CORRELATED``); the token's p-value
-is the largest, so all three must find it random.  Short tokens cannot reach a
-small one.  False discoveries are controlled by Benjamini-Hochberg at ``RATE``
-over the whole corpus within strata of encoding and length, from a histogram
-of p-values (rounded up, at most ``BINS`` a stratum).
+correlation.  The token's p-value is that of a chi-squared as small as its own
+if the token were text, in which two symbols are equal with a probability of
+``REPEATS`` at least (noncentral chi-squared, Abdel-Aty's cube root); it is 1
+where runs or correlation are more than ``OFF`` standard deviations from what
+random symbols give, so all three must find it random.  False discoveries are
+controlled by Benjamini-Hochberg at ``RATE`` over the whole corpus within strata
+of encoding, kinds of characters and length, from a histogram of p-values
+(rounded up, at most ``BINS`` a stratum).
+
+All symbols of a token are tested.  One of more than ``LONG`` is tested by its
+half-overlapping blocks of ``BLOCK``, strata of their own, so that what stands
+before or after random symbols does not hide them; accepted blocks that meet are
+one span.
 
 Offsets are code points, end exclusive.  Defined results: a null text is empty;
 rows with null or equal ids are scanned row by row; an empty table gives no
@@ -48,14 +54,16 @@ ENCODINGS = [
     ("base64url", "^[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
     ("mixed", "", _UPPER + _LOWER + _DIGITS + "+/-_"),
 ]
+#: Probability that two symbols of a token of text are equal, low enough for camel case with digits (in one case 0.065 and more), and the least effect for small alphabets.
+REPEATS = 0.04
 EFFECT = 1.0
-RUNS_OFF = 0.25
-CORRELATED = 0.5
+OFF = 3.0
 RATE = 0.05
 BINS = 1500
 BINS_PER_TENFOLD = 50
-#: Tokens are tested on so many of their first symbols; the p-value is then far below any threshold or near 1.
-MOST_SYMBOLS = 512
+#: Tokens of more symbols are tested by blocks.
+LONG = 512
+BLOCK = 64
 _SPANS = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
 
@@ -83,20 +91,21 @@ def _phi(z: Column) -> Column:
 
 
 def _p_value(token: Column, encoding: Column) -> Column:
-    """The largest of the three tests' p-values."""
+    """The chi-squared test's p-value, or 1 if another test finds the token not random."""
     alphabets = F.create_map(*[F.lit(x) for name, _, symbols in ENCODINGS for x in (name, symbols)])
     symbols = F.element_at(alphabets, encoding)
     k = F.char_length(symbols).cast("double")
-    n_int = F.least(F.char_length(token), F.lit(MOST_SYMBOLS))
-    values = F.transform(F.sequence(F.lit(1), n_int), lambda i: (F.instr(symbols, F.substring(token, i, F.lit(1))) - 1).cast("double"))
+    values = F.transform(F.sequence(F.lit(1), F.char_length(token)), lambda i: (F.instr(symbols, F.substring(token, i, F.lit(1))) - 1).cast("double"))
 
     def tests(state: Column) -> Column:
         v, k = state["v"], state["k"]
         n = F.size(v).cast("double")
         squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda a, s: a + F.pow(F.size(F.filter(v, lambda x: x == s)).cast("double"), F.lit(2.0)))
         chi = k / n * squares - n
-        shift = n * EFFECT
-        p_chi = _phi((chi - (k - 1 + shift)) / F.sqrt(2 * (k - 1 + 2 * shift)))
+        shift = n * F.greatest(k * REPEATS - 1, F.lit(EFFECT))
+        centre = k - 1 + shift
+        part = 2.0 / 9.0 * (1 + shift / centre) / centre
+        p_chi = _phi((F.pow(chi / centre, F.lit(1.0 / 3.0)) - (1 - part)) / F.sqrt(part))
         high = F.transform(v, lambda x: F.when(x >= k / 2, 1.0).otherwise(0.0))
         n1 = F.aggregate(high, F.lit(0.0), lambda a, x: a + x)
         n2 = n - n1
@@ -104,12 +113,12 @@ def _p_value(token: Column, encoding: Column) -> Column:
         changes = F.aggregate(F.zip_with(F.slice(high, 1, F.size(high) - 1), tail, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
         mean_runs = 1 + 2 * n1 * n2 / n
         sd_runs = F.sqrt(F.greatest((mean_runs - 1) * (mean_runs - 2) / (n - 1), n / 16))
-        p_runs = _phi((F.abs(changes + 1 - mean_runs) - RUNS_OFF * n) / sd_runs)
+        runs = F.abs(changes + 1 - mean_runs) <= OFF * sd_runs
         mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
         spread = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
         both = F.aggregate(F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v)), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, x: a + x)
-        p_serial = F.when(spread > 0, _phi((F.abs(both / spread) - CORRELATED) * F.sqrt(n))).otherwise(1.0)
-        return F.greatest(p_chi, p_runs, p_serial)
+        serial = (spread > 0) & (F.abs(both) * F.sqrt(n) <= OFF * spread)
+        return F.when(runs & serial, p_chi).otherwise(1.0)
 
     # an array of one, so that the symbols are computed once
     return F.element_at(F.transform(F.array(F.struct(values.alias("v"), k.alias("k"))), tests), 1)
@@ -122,9 +131,39 @@ def _encoding(token: Column) -> Column:
     return out
 
 
-def _stratum(encoding: Column, length: Column) -> Column:
-    """Encoding and length class."""
-    return F.concat_ws(":", encoding, F.when(length < 24, "20").when(length < 32, "24").when(length < 48, "32").when(length < 96, "48").otherwise("96"))
+def _stratum(encoding: Column, token: Column, block: Column) -> Column:
+    """Encoding, kinds of characters, and length class."""
+    length = F.char_length(token)
+    kinds = F.concat(*(F.when(token.rlike(p), x).otherwise("") for p, x in (("[A-Z]", "A"), ("[a-z]", "a"), ("[0-9]", "0"))))
+    lengths = F.when(length < 24, "20").when(length < 32, "24").when(length < 48, "32").when(length < 96, "48").otherwise("96")
+    return F.concat_ws(":", encoding, kinds, F.when(block, "block").otherwise(lengths))
+
+
+def _blocks(t: Column) -> Column:
+    """A token as it is, or the blocks of a long one."""
+    n = F.char_length(t["value"])
+
+    def block(i: Column) -> Column:
+        at = F.least(i * (BLOCK // 2), n - BLOCK).cast("int")
+        return F.struct((t["start"] + at).alias("start"), t["kind"].alias("kind"), (t["start"] + at + BLOCK).alias("stop"), F.substring(t["value"], at + 1, F.lit(BLOCK)).alias("value"), F.lit(True).alias("block"))
+
+    whole = F.struct(t["start"].alias("start"), t["kind"].alias("kind"), t["stop"].alias("stop"), t["value"].alias("value"), F.lit(False).alias("block"))
+    last = F.ceil((n - BLOCK) / (BLOCK // 2)).cast("int")
+    return F.when(n > LONG, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), block)).otherwise(F.array(whole))
+
+
+def _joined(spans: Column) -> Column:
+    """Spans in order, those that overlap or touch together."""
+    none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
+
+    def step(out: Column, s: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        grown = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), s["stop"].alias("stop"))
+        own = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))
+        meets = (F.size(out) > 0) & (last["stop"] >= s["start"])
+        return F.when(meets, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(out, F.array(own)))
+
+    return F.aggregate(spans, none, step)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -139,10 +178,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     def test(t: Column) -> Column:
         encoding = _encoding(t["value"])
         p = F.when(encoding == "decimal", 1.0).otherwise(_p_value(t["value"], encoding))
-        return F.struct(t["start"].alias("start"), t["kind"].alias("kind"), t["stop"].alias("stop"), _stratum(encoding, F.char_length(t["value"])).alias("stratum"), p.alias("p"))
+        return F.struct(t["start"].alias("start"), t["kind"].alias("kind"), t["stop"].alias("stop"), _stratum(encoding, t["value"], t["block"]).alias("stratum"), p.alias("p"))
 
     plain = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["stop"].alias("stop")))
-    return found.select("doc_id", *(c for c in found.columns if c.startswith("carry_")), plain.alias("base"), F.transform(new, test).alias("tests"))
+    return found.select("doc_id", *(c for c in found.columns if c.startswith("carry_")), plain.alias("base"), F.transform(F.flatten(F.transform(new, _blocks)), test).alias("tests"))
 
 
 def thresholds(scanned: DataFrame, rate: float = RATE) -> dict[str, int]:
@@ -175,7 +214,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
         accepted = F.filter("tests", lambda t: F.coalesce(_bin(t["p"]) >= F.element_at(by, t["stratum"]), F.lit(False)))
     else:
         accepted = F.filter("tests", lambda t: F.lit(False))
-    added = F.transform(accepted, lambda t: F.struct(t["start"].alias("start"), t["kind"].alias("kind"), t["stop"].alias("stop")))
+    added = _joined(accepted)
     return scanned.select(*kept, "base", F.sort_array(F.concat("base", added)).alias("spans"))
 
 

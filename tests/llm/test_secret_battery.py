@@ -43,3 +43,20 @@ def test_text_with_digits_is_left_and_longer_keys_are_found(spark):
     rows = [(i, "see " + (text_token(rng) if i % 3 else camel(rng) + (str(rng.randint(1, 99)) if i % 2 else "")) + " there") for i in range(9000)]
     found, wrong = counted(spans(spark, rows + added(rng, lengths)), lengths)
     assert min(found) >= 20 and wrong <= 0.1 * sum(found)
+
+
+def test_random_symbols_behind_a_long_head_are_found(spark):
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choice(BASE62) for _ in range(n))
+    rows = [(i, "A" * 700 + key(200)) for i in range(10)]
+    rows += [(10 + i, "/".join(rng.choice(WORDS) for _ in range(120)) + "/" + key(200)) for i in range(10)]
+    rows += [(20 + i, key(200) + "A" * 700) for i in range(10)]
+    rows += [(30 + i, "/".join(rng.choice(WORDS) for _ in range(200))) for i in range(10)]
+    got = spans(spark, rows)
+    text = dict(rows)
+    for i in range(30):
+        (span,) = got[i]
+        n = len(text[i])
+        lo, hi = (0, 200) if i >= 20 else (n - 200, n)
+        assert abs(span[0] - lo) <= 64 and abs(span[1] - hi) <= 64
+    assert not any(got[i] for i in range(30, 40))

@@ -5,8 +5,8 @@ scores and byte fallback are rebuilt as a tokenizers ``Tokenizer``: a unigram
 model from the scores, or a BPE whose merges are ranked by the scores of what
 they make.  Texts are encoded in batches on the library's threads, and the
 parity with the sentencepiece library is verified on probes when a model is
-loaded and on a hashed share of all texts while encoding (a difference is an
-error).
+loaded and on every text while encoding (a difference is an error, and so is a
+worker without that library).
 
 Where no piece has a marker after another character, a text may be cut before
 its runs of spaces, and pieces in use keep their ids; this holds for identity
@@ -40,8 +40,6 @@ from millrace.llm._tokens import Pieces
 MARK = "▁"
 #: Threads of a worker for encoding batches.
 THREADS = 2
-#: One text in so many (by hash) is held against the sentencepiece library.
-VERIFY_ONE_IN = 64
 #: Kinds of pieces in the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
@@ -213,8 +211,10 @@ class Codec(Pieces):
 
     def verify(self, text: str, data: bytes) -> None:
         """Raises if the sentencepiece library encodes the text otherwise, or the decoders differ."""
+        if self.reference is None:
+            raise ModuleNotFoundError("the sentencepiece library is needed to verify texts")
         ids = np.frombuffer(data, "<u4")
-        if self.reference is not None and self.reference.encode(text) != ids.tolist():
+        if self.reference.encode(text) != ids.tolist():
             raise ValueError(f"parity with sentencepiece fails: {text[:80]!r}")
         if self.model.unknown not in ids and self.decode(ids.tolist()).encode() != self.decode_ids(ids):
             raise ValueError(f"decoders differ: {text[:80]!r}")
@@ -226,8 +226,8 @@ SCHEMA = "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, verifi
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Ids of every whole text, decoded again: counts, checksums, and the ids themselves if asked for.
 
-    ``verified`` tells whether the text was among those held against the
-    sentencepiece library.
+    ``verified`` tells that the text was held against the sentencepiece
+    library; all are.
     """
     prepare(docs.sparkSession)
 
@@ -237,11 +237,9 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         rows: list[tuple] = []
         encoded = codec.encode_texts(texts)
         for text, data in zip(texts, encoded, strict=True):
-            chosen = codec.reference is not None and zlib.crc32(text.encode()) % VERIFY_ONE_IN == 0
-            if chosen:
-                codec.verify(text, data)
+            codec.verify(text, data)
             back = codec.decode_ids(np.frombuffer(data, "<u4"))
-            rows.append((len(data) // 4, zlib.crc32(data), hashlib.sha256(back).hexdigest(), chosen))
+            rows.append((len(data) // 4, zlib.crc32(data), hashlib.sha256(back).hexdigest(), True))
         n, crc, sha, verified = zip(*rows, strict=True)
         out = [batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha), pa.array(verified)]
         if with_ids:

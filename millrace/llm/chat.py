@@ -2,8 +2,10 @@
 
 A conversation is one or more windows.  Prefix sums of the turns' tokens choose
 each window's span: the system turn (if the conversation begins with one), as
-many of the latest turns already shown as fit into the history budget, then new
-turns while the window's budget lasts, one at least.  New assistant texts are
+many of the latest turns already shown as fit into the history budget and leave
+room for the next turn, then new turns while the window's budget lasts, one at
+least.  So a window is over the budget only where the system turn and its one
+new turn alone are.  New assistant texts are
 under the loss mask; repeated ones and all else are not, so each assistant text
 is a target once.
 
@@ -13,7 +15,8 @@ backslash, so no text holds a control string of its own and ``parse`` restores
 it.
 
 Turns are streamed in order; no conversation is gathered, and what is held is a
-window at most.  Defined results: a null role is empty, a null text is empty; a
+window at most (the longest turn, if that is longer).  Only the named columns
+are read, so others may have any names.  Defined results: a null role is empty, a null text is empty; a
 null turn comes first; equal turn numbers are ordered by role and text and all
 kept; a null conversation id is a conversation; an empty table gives no rows.
 """
@@ -84,16 +87,24 @@ class Windows:
         turn = (*formatted(role, text), self.count, role == "assistant")
         self.count += 1
         if self.count == 1 and role == "system":
-            self.system, self.budget_left = turn, max(0, self.budget - tokens)
-            self.budget = self.budget_left
+            self.system, self.budget = turn, max(0, self.budget - tokens)
             return []
         out = []
         if len(self.turns) > self.fresh and self.sums[-1] + tokens > self.budget:
             out = [self.window()]
+        if self.fresh == len(self.turns):  # history makes room
+            drop = int(np.searchsorted(self.sums, self.sums[-1] + tokens - self.budget, "left")) if self.sums[-1] + tokens > self.budget else 0
+            self._forget(min(drop, len(self.turns)))
         self.turns.append(turn)
         self.sums.append(self.sums[-1] + tokens)
         return out
 
+    def _forget(self, n: int) -> None:
+        """Drops the oldest turns held; those that stay have been shown."""
+        self.turns = self.turns[n:]
+        self.sums = [s - self.sums[n] for s in self.sums[n:]]
+        self.fresh = len(self.turns)
+
     def window(self) -> tuple:
         """The window of the turns held; keeps of them the history that fits."""
         parts, spans, at = [], [], 0
@@ -102,10 +113,7 @@ class Windows:
             parts.append(text)
             spans.append({"start": at + start, "stop": at + stop, "turn_no": number, "loss": target and new})
             at += len(text)
-        keep = int(np.searchsorted(self.sums, self.sums[-1] - self.history, "left"))
-        self.turns = self.turns[keep:]
-        self.sums = [s - self.sums[keep] for s in self.sums[keep:]]
-        self.fresh = len(self.turns)
+        self._forget(int(np.searchsorted(self.sums, self.sums[-1] - self.history, "left")))
         self.window_no += 1
         return self.conv_id, self.window_no - 1, "".join(parts), spans
 
@@ -145,7 +153,7 @@ def format_windows(turns: DataFrame, tokenizer_path: str, budget: int = 2048, hi
     ``turns`` has, for each turn shown, where its escaped text stands, its number
     in the conversation, and whether it is under the loss mask.  Windows of a
     conversation are consecutive and in order.  A window is longer than
-    ``budget`` tokens only if its one new turn is.
+    ``budget`` tokens only if the system turn and its one new turn are.
     """
     if not 0 <= history < budget:
         raise ValueError("history must be from 0 to less than budget")

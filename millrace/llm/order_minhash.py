@@ -16,11 +16,12 @@ gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._common import int64s, prepare
@@ -158,30 +159,50 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
 
 
+def range_cuts(quantiles: list[int]) -> list[tuple[int, int]]:
+    """Boundaries (key, hash) from sorted quantiles of the keys; a key that several quantiles name is cut by the hash as often."""
+    times: dict[int, int] = {}
+    for q in quantiles:
+        times[q] = times.get(q, 0) + 1
+    return [(q, LOWEST + (1 << 64) * k // n) for q, n in sorted(times.items()) for k in range(n)]
+
+
+def part_of(cuts: list[tuple[int, int]]) -> Column:
+    """How many of the sorted boundaries are at or below a row's (key, h), by a search in two steps."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    below = lambda c: (c["key"] < F.col("key")) | (c["key"] == F.col("key")) & (c["h"] <= F.col("h"))
+    of = lambda some: F.arrays_zip(F.lit([k for k, _ in some]).cast("array<bigint>").alias("key"), F.lit([h for _, h in some]).cast("array<bigint>").alias("h"))
+    coarse = F.size(F.filter(of(cuts[::step]), below))
+    fine = F.size(F.filter(F.slice(of(cuts), (coarse - 1) * step + 1, F.lit(step)), below))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine).cast("int")
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Each row's fingerprint, that of its edited text, and its likeness to that and to the next row's.
 
-    Rows are exchanged once, to ranges of ids; the first row of each range goes
-    to the range before it as well (the last range's next is the first's first).
+    Rows are exchanged once, to ranges of ids (and of hashes of the texts, where
+    many have one id or none); the first row of each range goes to the range
+    before it as well (the last range's next is the first's first).
     """
     spark = prepare(docs.sparkSession)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    quantiles = rows.select(F.percentile_approx("key", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(quantiles))[: parts - 1]
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
-    rows = rows.withColumn("part", part)
+    cuts = range_cuts(rows.select(F.percentile_approx("key", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or [])[: parts - 1]
+    rows = rows.withColumn("part", part_of(cuts))
     firsts = dict(rows.groupBy("part").agg(F.min(F.struct("key", "h")).alias("f")).collect())
     if not firsts:
         return spark.createDataFrame([], PAIRS)
     there = sorted(firsts)
-    before = {p: there[i - 1] for i, p in enumerate(there)}
-    numbers = F.create_map(*[F.lit(x) for p in there for x in (p, before[p])])
-    at = F.create_map(*[x for p in there for x in (F.lit(p), F.struct(F.lit(firsts[p].key).alias("key"), F.lit(firsts[p].h).alias("h")))])
+    before = dict(zip(there, [there[-1], *there], strict=False))
+    whole = range(len(cuts) + 1)
+    longs = lambda values: F.lit(list(values)).cast("array<bigint>")
+    of_part = lambda values: F.element_at(longs(values), F.col("part") + 1)
     own = F.struct(F.col("part").alias("to"), F.lit(0).alias("guard"))
-    other = F.struct(F.element_at(numbers, F.col("part")).alias("to"), F.lit(1).alias("guard"))
-    is_first = F.element_at(at, F.col("part")) == F.struct("key", "h")
+    other = F.struct(of_part(before.get(p, 0) for p in whole).cast("int").alias("to"), F.lit(1).alias("guard"))
+    is_first = (of_part(firsts[p].key if p in firsts else 0 for p in whole) == F.col("key")) & (of_part(firsts[p].h if p in firsts else 0 for p in whole) == F.col("h"))
     sent = rows.withColumn("place", F.explode(F.when(is_first, F.array(own, other)).otherwise(F.array(own)))).select("doc_id", "text", F.col("place.guard").alias("guard"), "key", "h", "place.to")
     moved = sent.repartitionById(len(cuts) + 1, F.col("to")).sortWithinPartitions("guard", "key", "h").select("doc_id", "text", "guard")
     return moved.mapInArrow(_pairs, PAIRS)

@@ -1,20 +1,21 @@
 """Sharding into ranges of near-equal bytes by histogram sort.
 
-The sort key is (hash of the text, hash of the id), so equal texts are neighbours
-and keys spread evenly.  The
-exact bytes below candidate boundaries are counted over all partitions; each
+The sort key is (hash of the text, hash of the id and the row's place in the
+table of sizes), so equal texts are neighbours, and keys spread evenly and are
+distinct even where rows repeat.  The exact bytes below candidate boundaries are counted over all partitions; each
 splitter's interval shrinks to the two candidates around its target, until one
 is within the tolerance or the interval holds a single row.  The final
-boundaries, with finer ones inside each shard, are counted once more; then the
-rows are exchanged once, straight to their range, and a row's slot is its
+boundaries, with finer ones inside each shard, are counted, and what still has
+too many rows is cut again, within the keys that it holds, and counted; then
+the rows are exchanged once, straight to their range, and a row's slot is its
 range's first slot plus its place in the range.
 
 The driver holds boundaries and their counts only: a number fixed by the number
 of shards and ranges.
 
-Defined results: a null text has no bytes (size 8) and hashes as empty; rows
-with equal keys (repeated rows) are ordered arbitrarily but kept; a null id
-sorts as the smallest; an empty table gives no rows.  With more shards than
+Defined results: a null text has no bytes (size 8) and hashes as empty; repeated
+rows are ordered arbitrarily but kept, and a boundary may fall among them; an
+empty table gives no rows.  Only the named columns are read.  With more shards than
 rows some shards are empty.  Equal texts share a shard unless a boundary must
 fall among them for the sizes to be near equal.
 """
@@ -146,11 +147,28 @@ def splitters(rows: DataFrame, shards: int, tolerance: float) -> list[Key]:
     return [_key(min(lo[i] if t - below[lo[i]] <= below[hi[i]] - t else hi[i], (1 << 128) - 1)) for i, t in enumerate(targets)]
 
 
+def range_cuts(rows: DataFrame, cuts: list[Key]) -> tuple[list[Key], np.ndarray]:
+    """Boundaries, ``cuts`` among them, of ranges of at most twice ``RANGE_ROWS`` rows, and how many rows each range has."""
+    many = max(1, math.ceil(rows.count() / RANGE_ROWS))
+    known = {*map(_number, cuts), *((1 << 128) * k // many for k in range(1, many))}
+    for _ in range(MOST_ROUNDS):
+        fine = sorted(known)
+        _, n, low, high = count_between(rows, [_key(k) for k in fine])
+        edges = [0, *fine, 1 << 128]
+        for i in np.flatnonzero(n > 2 * RANGE_ROWS).tolist():
+            # the rows' own first parts bound the range
+            least, most = max(edges[i], _number((int(low[i]), LOWEST))), min(edges[i + 1], _number((int(high[i]), LOWEST)) + (1 << 64))
+            parts = math.ceil(n[i] / RANGE_ROWS)
+            known.update(k for k in (least + (most - least) * j // parts for j in range(parts)) if k > 0)
+        if len(known) == len(fine):
+            break
+    return [_key(k) for k in fine], n
+
+
 def shard_rows(rows: DataFrame, shards: int, tolerance: float = 0.002) -> DataFrame:
     """Adds ``shard`` and ``slot`` to rows that have ``high, low, size`` (a durable table: it is read several times)."""
     cuts = splitters(rows, shards, tolerance)
-    fine = sorted({*cuts, *(_key((1 << 128) * k // max(1, n)) for n in [math.ceil(rows.count() / RANGE_ROWS)] for k in range(1, n))})
-    _, n, _, _ = count_between(rows, fine)
+    fine, n = range_cuts(rows, cuts)
     # range r holds keys from fine[r - 1]; a shard begins at each of its cuts
     starts = [_number(c) for c in cuts]
     shard = np.array([0, *(sum(s <= _number(f) for s in starts) for f in fine)], np.int64)
@@ -188,7 +206,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(F.encode(text, "utf-8")), F.lit(0)).alias("text_crc32"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("high"),
-        F.xxhash64(F.col(id_col).cast("long")).alias("low"),
+        F.xxhash64(F.col(id_col).cast("long"), F.monotonically_increasing_id()).alias("low"),
     )
     placed = shard_rows(durable(rows, "sizes"), shards, tolerance)
     return placed.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot")

@@ -5,12 +5,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.llm import chat, order_minhash, quality, secrets, sharding
+from millrace.llm._tokens import Encoder
 from millrace.llm.queries import tokenizer_file
 
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
@@ -56,6 +59,36 @@ def test_ratio_rejects_what_trusted_documents_lack(spark):
     assert unmarked.where("not kept").count() == 0
 
 
+def test_scores_against_their_definition(spark):
+    from millrace.llm._text import blocks, mix, spread
+
+    rng = random.Random(14)
+    texts = [None, "", "one"] + [" ".join(rng.choice(["a", "of", "été", "w%d" % rng.randint(0, 60)]) for _ in range(rng.randint(1, 60))) for _ in range(120)]
+    rows = [(i if i % 10 else None, t) for i, t in enumerate(texts)]
+    labels = [(i, 1 if i % 3 else 0, None if i % 4 else 1) for i in range(0, 120, 2)]
+    trusted = {i for i, good, toxic in labels if good and not toxic}
+
+    def buckets(text):
+        words = (text or "").encode().split()
+        hashes = [int(next(iter(blocks(pa.array([w], pa.binary())))).span_hash(np.array([0]), np.array([len(w)]))[0]) for w in words]
+        pair = lambda a, b: int(mix(np.array([(a * int(spread(0)) + b * int(spread(1))) % 2**64], np.uint64))[0])
+        return Counter(h % quality.BUCKETS for h in hashes + [pair(a, b) for a, b in zip(hashes, hashes[1:], strict=False)])
+
+    own = [buckets(t) for _, t in rows]
+    raw, target = sum(own, Counter()), sum((c for (d, _), c in zip(rows, own, strict=True) if d in trusted), Counter())
+    scale = target.total() / raw.total()
+    want = {}
+    for (d, t), c in zip(rows, own, strict=True):
+        ratio = sum(n * np.log((target[b] - n * (d in trusted) + quality.ADDED) / ((raw[b] - n) * scale + quality.ADDED)) for b, n in c.items())
+        want.setdefault((d, len((t or "").split())), []).append(ratio / (c.total() + quality.NEUTRAL))
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    seen = {}
+    for r in got:
+        seen.setdefault((r.doc_id, r.n_words), []).append(r.score)
+        assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
+    assert set(seen) == set(want) and all(np.allclose(sorted(seen[k]), sorted(want[k]), atol=1e-9) for k in want)
+
+
 def test_quality_of_nothing(spark, nothing, labels):
     assert quality.judge(nothing, labels).count() == 0
 
@@ -154,8 +187,62 @@ def test_likeness_falls_with_edits_and_order():
 def test_order_minhash_of_one_and_of_nothing(spark, nothing):
     assert order_minhash.with_next(nothing).count() == 0
     (r,) = order_minhash.with_next(spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")).collect()
-    assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"a b a b").hexdigest()[:64] or r.n_chars == 7
-
+    assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"a b a b").hexdigest() and r.n_chars == 7
+
+
+def brute_signature(text):
+    """Order min-hash of one text, step by step: units, numbered pairs, the least of them in text order."""
+    from millrace.llm._text import blocks, mix, spread
+
+    def hash_of(unit):
+        (block,) = blocks(pa.array([unit], pa.binary()))
+        return int(block.span_hash(np.array([0]), np.array([len(unit)]))[0])
+
+    one = lambda x: int(mix(np.array([x % 2**64], np.uint64))[0])
+    units = [hash_of(w[i : i + 32]) for w in (text or "").encode().split() for i in range(0, len(w), 32)]
+    tuples = [units[i : i + 2] for i in range(max(1, len(units) - 1))] if units else []
+    seen, numbered = Counter(), []
+    for t in tuples:
+        h = one(sum(u * int(spread(i)) for i, u in enumerate(t)))
+        numbered.append(one(h + seen[h] * 0xD6E8FEB86659FD93))
+        seen[h] += 1
+    out = ""
+    for m in order_minhash._MULTIPLIERS.tolist():
+        least = sorted(sorted(range(len(numbered)), key=lambda i: numbered[i] * m % 2**64)[:2])
+        value = 0x5BF03635 + sum((numbered[least[t]] if t < len(least) else 1) * int(spread(t)) for t in range(2))
+        out += f"{one(value) >> 48 if numbered else 0:04x}"
+    return out
+
+
+def test_order_minhash_against_its_definition(spark):
+    rng = random.Random(12)
+    texts = [None, "", " ", "a", "a b", "a a a a", "x" * 100, "é" * 40 + " b"] + [" ".join(rng.choice(["a", "b", "cc", "été", "d" * 70]) for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    ids = [None, None, 7, 7] + list(range(100, 100 + len(texts) - 4))
+    rows = list(zip(ids, texts, strict=True))
+    got = order_minhash.with_next(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "h": F.lit("x"), "part": F.lit(0)}), parts=5).collect()
+    hashes = {t: h for t, h in spark.createDataFrame([(t or "",) for t in texts], "t string").select("t", F.xxhash64("t")).collect()}
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1] or ""]))
+    want = Counter()
+    parts = lambda s: [s[i : i + 4] for i in range(0, len(s), 4)]
+    alike = lambda a, b: sum(x == y for x, y in zip(parts(a), parts(b), strict=True)) / 64
+    for (d, t), (_, after) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        t, after = t or "", after or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        a, b, c = map(brute_signature, (t, edited, after))
+        want[d, len(t), hashlib.sha256(edited.encode()).hexdigest(), a, b, alike(a, b), alike(a, c)] += 1
+    assert Counter(tuple(r) for r in got) == want
+
+
+def test_ranges_of_many_parts_and_one_hot_key(spark):
+    rng = random.Random(13)
+    rows = [(None if i % 3 == 0 else i, f"text {i} of {rng.randint(0, 9)}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    many, few = ({tuple(r) for r in order_minhash.with_next(df, parts=p).collect()} for p in (150, 2))
+    assert many == few and len(many) == 3000
+    cuts = order_minhash.range_cuts([5, 5, 5, 9])
+    assert cuts == sorted(cuts) and [k for k, _ in cuts] == [5, 5, 5, 9]
+    placed = df.selectExpr("coalesce(doc_id, -9223372036854775808) key", "xxhash64(text) h").withColumn("p", order_minhash.part_of(cuts)).collect()
+    assert all(r.p == sum(c <= (r.key, r.h) for c in cuts) for r in placed)
 
 # sharding
 
@@ -188,6 +275,18 @@ def test_shards_of_awkward_rows(spark, awkward, nothing):
     assert sharding.shard_documents(nothing, 24).count() == 0
 
 
+def test_half_of_the_rows_are_one_text_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 100)
+    docs = [(None, "the same text") if i % 2 else (i, f"text {i} " * (i % 9)) for i in range(6000)]
+    docs += [(3, "twin")] * 900
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"size": F.lit("x"), "high": F.lit(1), "shard": F.lit(2)})
+    sizes = check_shards(sharding.shard_documents(df, 24).collect(), docs, 24)
+    assert max(sizes) - min(sizes) <= 0.05 * sum(sizes) / 24
+    rows = spark.createDataFrame([(5, i, 1) if i % 2 else (i * 10**15, i, 1) for i in range(6000)], "high long, low long, size long")
+    _, n = sharding.range_cuts(rows, [])
+    assert n.sum() == 6000 and n.max() <= 200
+
+
 # chat
 
 
@@ -222,6 +321,55 @@ def test_windows(spark):
     assert any(not t.loss and t.turn_no for w in many[1:] for t in w.turns)  # and some history is shown again
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 300), max_size=20), st.none() | st.integers(1, 250), st.integers(0, 199))
+def test_windows_keep_their_budget(sizes, system, history):
+    now, out, tokens = chat.Windows(1, 200, history), [], []
+    for n in ([system] if system else []) + sizes:
+        tokens.append(n)
+        out += now.add("system" if system and len(tokens) == 1 else "assistant", str(n), n)
+    out += now.end()
+    shown, targets = 0, []
+    for _, _, text, spans in out:
+        numbers = [s["turn_no"] for s in spans]
+        if system:
+            assert numbers.pop(0) == 0
+        assert numbers == list(range(numbers[0], numbers[0] + len(numbers))) if numbers else True
+        fresh = [s["turn_no"] for s in spans if s["loss"]]
+        own = [n for n in numbers if n not in targets]
+        assert fresh == own and (fresh or shown == 0)
+        assert sum(tokens[n] for n in numbers if n in targets) <= history
+        size = sum(tokens[n] for n in numbers) + (system or 0)
+        assert size <= 200 or (len(numbers) == len(own) <= 1), (size, numbers)
+        targets += own
+        shown += 1
+    assert targets == list(range(1 if system else 0, len(tokens)))
+
+
+@pytest.mark.parametrize("sizes", [[1600, 400, 1800], [1700, 300, 300, 300]])
+def test_history_makes_room(sizes):
+    now, out = chat.Windows(1, 2048, 512), []
+    for i, n in enumerate(sizes):
+        out += now.add("system" if sizes[0] == 1700 and not i else "user", "x", n)
+    out += now.end()
+    for w in out:
+        assert sum(sizes[s["turn_no"]] for s in w[3]) <= 2048
+
+
+def test_tokens_of_a_window_are_those_of_its_turns(spark):
+    rng = random.Random(11)
+    rows = [(c, i, rng.choice(["system", "user", "assistant"]), " ".join(rng.choice(["### ", "word", "\n", "</turn>", "é"]) for _ in range(rng.randint(0, 80)))) for c in range(20) for i in range(12)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"window_no": F.lit(7), "turns": F.lit("x"), "loss": F.lit(1)})
+    alone = {(c, i): (r, t) for c, i, r, t in rows}
+    encoder = Encoder.of(BPE)
+    size = lambda t: len(encoder.encode([t])[0]) // 4
+    got = chat.format_windows(df, BPE, budget=200, history=60).collect()
+    assert len(got) > 40
+    for w in got:
+        assert size(w.text) <= 200 or sum(t.turn_no > 0 or alone[w.conv_id, 0][0] != "system" for t in w.turns) == 1
+        assert size(w.text) == sum(size(chat.formatted(*alone[w.conv_id, t.turn_no])[0]) for t in w.turns)
+
+
 def test_windows_of_nothing(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.format_windows(df, BPE)).count() == 0
@@ -234,7 +382,7 @@ def test_fm_index_against_counting():
 
     rng = random.Random(1)
     segments = [[rng.randint(1, 4) for _ in range(rng.randint(1, 40))] for _ in range(60)]
-    index = FMIndex(np.array(sum(segments, []), np.uint64) * np.uint64(7), np.array([len(s) for s in segments]), 6)
+    index = FMIndex(np.array(sum(segments, []), np.uint64) * np.uint64(7), np.array([len(s) for s in segments]), 6, np.arange(len(segments)))
     streamed = [[rng.randint(1, 5) for _ in range(30)] for _ in range(20)] + segments[:10]
     flat = np.array(sum(streamed, []), np.uint64) * np.uint64(7)
     room = np.concatenate([np.arange(1, len(x) + 1) for x in streamed])
@@ -249,3 +397,29 @@ def test_fm_index_against_counting():
             if best:
                 assert hi[at] - lo[at] == count(tuple(x[e - best + 1 : e + 1]))
             at += 1
+
+
+def test_fm_index_is_smaller_than_its_text():
+    from millrace.llm.fm_index import FMIndex
+
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 1 << 63, 12_000).astype(np.uint64)
+    text = words[(rng.random(150_000) ** 3 * len(words)).astype(int)]
+    index = FMIndex(text, np.full(5000, 30), 13, rng.integers(0, 1 << 60, 5000))
+    assert index.nbytes < 0.85 * text.nbytes  # of which half are the rows' values
+
+
+def test_fm_index_least_values():
+    from millrace.llm.fm_index import FMIndex
+
+    rng = random.Random(6)
+    segments = [[rng.randint(1, 3) for _ in range(rng.randint(3, 9))] for _ in range(60)]
+    flat, counts, values = np.array(sum(segments, []), np.uint64), np.array([len(s) for s in segments]), np.array([rng.randint(0, 1 << 40) for _ in segments])
+    index = FMIndex(flat, counts, 3, values)
+    room = np.concatenate([np.arange(1, n + 1) for n in counts])
+    for indexed in (False, True):
+        matched, lo, hi = index.matching(index.codes(flat), room, 3, 3, indexed=indexed)
+        full = np.flatnonzero(matched >= 3)
+        assert len(full) == (room >= 3).sum()
+        want = [min(v for s, v in zip(segments, values, strict=True) if any(s[i : i + 3] == flat[p - 2 : p + 1].astype(int).tolist() for i in range(len(s)))) for p in full]
+        assert index.least(lo[full], hi[full]).tolist() == want

@@ -62,6 +62,12 @@ def combine(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
+def runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``starts[i], starts[i] + 1, ...`` of ``counts[i]`` each, one after another."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
 class Block:
     """Documents ``lo`` to ``hi`` of a batch: ``data`` are their bytes, ``bounds`` their offsets in them."""
 

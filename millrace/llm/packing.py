@@ -57,32 +57,39 @@ def fills(bins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.bincount(bins, weights=sizes).astype(np.int64)[bins] if len(bins) else bins
 
 
-def _pieces(tokenizer_path: str, max_len: int, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
+def cut(ids: np.ndarray, bounds: np.ndarray, max_len: int, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of documents whose ids stand one after another: the row of each, and ``piece, start, length, ids_crc32`` of each."""
+    n = np.diff(bounds)
+    whole = np.insert(ids, bounds[1:], end_id).astype("<u4", copy=False)
+    lengths = n + 1
+    many = -(-lengths // max_len)
+    rows = np.repeat(np.arange(len(n)), many)
+    piece = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
+    first = (lengths - 1) % max_len + 1  # only a document's first piece may be shorter
+    start = np.where(piece > 0, first[rows] + (piece - 1) * max_len, 0)
+    length = np.where(piece > 0, max_len, first[rows])
+    at = start + (np.cumsum(lengths) - lengths)[rows]
+    data = memoryview(whole.tobytes())
+    crc = [zlib.crc32(data[a:b]) for a, b in zip((4 * at).tolist(), (4 * (at + length)).tolist(), strict=True)]
+    return rows, np.stack([piece, start, length, np.array(crc, np.int64)]) if len(rows) else np.zeros((4, 0), np.int64)
+
 
+def _pieces(tokenizer_path: str, max_len: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer_path)
         ids: list[pa.Array] = []
-        numbers: list[tuple[int, int, int, int]] = []
+        numbers: list[np.ndarray] = []
         for batch in batches:
-            rows: list[int] = []
-            for row, found in enumerate(encoder.encode(batch.column(1).fill_null("").to_pylist())):
-                found += end
-                n = len(found) // 4
-                first = (n - 1) % max_len + 1
-                start = 0
-                for piece, stop in enumerate(range(first, n + 1, max_len)):
-                    numbers.append((piece, start, stop - start, zlib.crc32(memoryview(found)[4 * start : 4 * stop])))
-                    rows.append(row)
-                    start = stop
+            rows, found = cut(*encoder.encode_column(batch.column(1)), max_len, end_id)
+            numbers.append(found)
             ids.append(batch.column(0).take(pa.array(rows, pa.int64())))
         if not numbers:
             return
-        table = np.array(numbers, dtype=np.int64)
-        bins, offsets = best_fit(table[:, 2], max_len)
-        fill = fills(bins, table[:, 2])
+        table = np.concatenate(numbers, axis=1)
+        bins, offsets = best_fit(table[2], max_len)
+        fill = fills(bins, table[2])
         bins += TaskContext.get().partitionId() << 34
-        columns = [pa.chunked_array(ids).combine_chunks(), pa.array(table[:, 0].astype(np.int32)), *(pa.array(c) for c in (*table[:, 1:].T, bins, offsets, fill))]
+        columns = [pa.chunked_array(ids).combine_chunks(), pa.array(table[0].astype(np.int32)), *(pa.array(c) for c in (*table[1:], bins, offsets, fill))]
         whole = pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in PIECES.split(", ")])
         for at in range(0, whole.num_rows, 10_000):
             yield whole.slice(at, 10_000)

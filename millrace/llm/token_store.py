@@ -40,8 +40,8 @@ from millrace.llm._tokens import Encoder
 GAMMA = 2
 #: Ids read from a payload at once.
 WINDOW = 1 << 20
-#: Characters of text (roughly) in a shard, if no number of shards is given.
-SHARD_CHARS = 16_000_000
+#: Hash functions tried until no two keys of a shard have one hash.
+SEEDS = 16
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -49,9 +49,9 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def key_hash(keys: np.ndarray, nulls: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+def key_hash(keys: np.ndarray, nulls: np.ndarray, numbers: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of keys with their number among equal keys."""
-    x = mix(keys.astype(np.int64).view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    x = mix(keys.astype(np.int64).view(np.uint64) + np.uint64((0x632BE59BD9B4E019 + seed * 0x9FB21C651E98DF25) % 2**64))
     x = np.where(nulls, np.uint64(0x8CB92BA72F3D8DD7), x)
     return mix(x + numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -104,11 +104,15 @@ class Index:
 
     FIELDS = ("fingerprint", "<u4"), ("offset", "<u8"), ("length", "<u4"), ("same", "<u4")
 
-    def __init__(self, mph: PerfectHash, fields: dict[str, np.ndarray]):
-        self.mph, self.fields = mph, fields
+    def __init__(self, mph: PerfectHash, fields: dict[str, np.ndarray], seed: int):
+        self.mph, self.fields, self.seed = mph, fields, seed
 
     @classmethod
-    def build(cls, hashes: np.ndarray, lengths: np.ndarray, same: np.ndarray) -> Index:
+    def build(cls, keys: np.ndarray, nulls: np.ndarray, numbers: np.ndarray, lengths: np.ndarray, same: np.ndarray) -> Index:
+        for seed in range(SEEDS):
+            hashes = key_hash(keys, nulls, numbers, seed)
+            if len(np.unique(hashes)) == len(hashes):
+                break
         mph = PerfectHash.build(hashes)
         slots = mph.slots(hashes)
         values = {"fingerprint": hashes & np.uint64(0xFFFFFFFF), "offset": np.cumsum(lengths) - lengths, "length": lengths, "same": same}
@@ -116,10 +120,11 @@ class Index:
         for name, kind in cls.FIELDS:
             fields[name] = np.zeros(len(hashes), kind)
             fields[name][slots] = values[name]
-        return cls(mph, fields)
+        return cls(mph, fields, seed)
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def find(self, keys: np.ndarray, nulls: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Whether each key is there, and its offset, length and number of equal keys."""
+        hashes = key_hash(keys, nulls, numbers, self.seed)
         slots = self.mph.slots(hashes)
         found = slots >= 0
         at = np.where(found, slots, 0)
@@ -130,14 +135,14 @@ class Index:
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, sizes=np.array(self.mph.sizes, np.int64), **{f"level{i}": x for i, x in enumerate(self.mph.levels)}, **self.fields)
+        np.savez(out, seed=np.int64(self.seed), sizes=np.array(self.mph.sizes, np.int64), **{f"level{i}": x for i, x in enumerate(self.mph.levels)}, **self.fields)
         return out.getvalue()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Index:
         with np.load(io.BytesIO(data)) as z:
             sizes = z["sizes"].tolist()
-            return cls(PerfectHash([z[f"level{i}"] for i in range(len(sizes))], sizes), {n: z[n] for n, _ in cls.FIELDS})
+            return cls(PerfectHash([z[f"level{i}"] for i in range(len(sizes))], sizes), {n: z[n] for n, _ in cls.FIELDS}, int(z["seed"]))
 
 
 def id_type(vocabulary: int) -> str:
@@ -145,8 +150,6 @@ def id_type(vocabulary: int) -> str:
 
 
 def _writer(uri: str, tokenizer_path: str, end_id: int, kind: str):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer_path)
         fs, base = filesystem(uri)
@@ -159,9 +162,9 @@ def _writer(uri: str, tokenizer_path: str, end_id: int, kind: str):
             out = out or fs.open_output_stream(f"{temporary}.bin")
             texts = batch.column(1).fill_null("")
             for lo, hi in rows_below(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), WINDOW):
-                found = [x + end for x in encoder.encode(texts.slice(lo, hi - lo).to_pylist())]
-                out.write(np.frombuffer(b"".join(found), "<u4").astype(kind).tobytes())
-                lengths.append(np.fromiter((len(x) // 4 for x in found), np.int64, len(found)))
+                ids, bounds = encoder.encode_column(texts.slice(lo, hi - lo))
+                out.write(np.insert(ids, bounds[1:], end_id).astype(kind).tobytes())
+                lengths.append(np.diff(bounds) + 1)
             keys.append(int64s(batch.column(0).fill_null(0)))
             nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
         if out is None:
@@ -172,7 +175,7 @@ def _writer(uri: str, tokenizer_path: str, end_id: int, kind: str):
         new[1:] = (k[1:] != k[:-1]) | (z[1:] != z[:-1])
         group = np.cumsum(new) - 1
         number = np.arange(len(k)) - np.flatnonzero(new)[group]
-        index = Index.build(key_hash(k, z, number), n, np.bincount(group)[group])
+        index = Index.build(k, z, number, n, np.bincount(group)[group])
         with fs.open_output_stream(f"{temporary}.idx") as f:
             f.write(index.to_bytes())
         for ext in ("bin", "idx"):
@@ -230,15 +233,16 @@ class Payload:
 
 
 def _shard_of(manifest: dict):
-    shards = manifest["shards"]
-    lasts = np.array([(-(2**63) if s["null_last"] else s["last"]) for s in shards], np.int64)
+    shards = [s for s in manifest["shards"] if not s["null_last"]]  # that hold other keys than null
+    lasts = np.array([s["last"] for s in shards], np.int64)
+    numbers = np.array([s["shard"] for s in shards] + [-1], np.int64)
+    of_null = next((s["shard"] for s in manifest["shards"] if s["null_first"]), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = int64s(b.column(0).fill_null(-(2**63)))
-            at = np.searchsorted(lasts, keys, "left")
-            numbers = np.array([s["shard"] for s in shards] + [-1], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(numbers[at])], names=["doc_id", "shard"])
+            at = numbers[np.searchsorted(lasts, int64s(b.column(0).fill_null(0)), "left")]
+            nulls = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.where(nulls, of_null, at))], names=["doc_id", "shard"])
 
     return run
 
@@ -261,11 +265,11 @@ def _reader(uri: str, manifest: dict, out_names: list[str]):
                     with fs.open_input_stream(f"{base}/shard-{shard}.idx") as f:
                         index = Index.from_bytes(f.read())
                     held, payload = shard, Payload(fs, f"{base}/shard-{shard}.bin", manifest["ids"])
-                found, _, _, same = index.find(key_hash(keys[lo:hi], nulls[lo:hi], np.zeros(hi - lo, np.int64)))
+                found, _, _, same = index.find(keys[lo:hi], nulls[lo:hi], np.zeros(hi - lo, np.int64))
                 times = np.where(found, same, 0)
                 which = np.repeat(np.arange(lo, hi), times)
                 number = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-                _, offsets, lengths, _ = index.find(key_hash(keys[which], nulls[which], number))
+                _, offsets, lengths, _ = index.find(keys[which], nulls[which], number)
                 for i, offset, length in sorted(zip(which.tolist(), offsets.tolist(), lengths.tolist(), strict=True), key=lambda x: x[1]):
                     ids = payload.ids(offset, length).astype("<u4")
                     rows["doc_id"].append(None if nulls[i] else int(keys[i]))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.llm import packing, sentencepiece_codec, token_store
 from millrace.llm._tokens import Encoder
@@ -31,11 +32,26 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in Encoder.of(BPE).encode(texts)] == [plain(t) for t in texts]
 
 
+def test_random_texts_of_many_kinds_of_characters():
+    rng = random.Random(7)
+    parts = [*"ab z0 \n,.'é\t\x1c\x00\x01\x7fжΩ中あ—’🙂º١Ⅷ\u0301\u0085\xa0\u3000\u2003", "'s", "'re", "'LL", "  ", "<|endoftext|>", "abc", "Hello", "12", " x", "\r\n", "long" * 9, "é" * 13]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder.of(BPE).encode(texts)] == [plain(t) for t in texts]
+
+
+def test_a_text_of_megabytes():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 30))) for _ in range(20000)]
+    text = " ".join(rng.choice(words) for _ in range(330_000))
+    assert len(text) > 5_000_000
+    assert np.array_equal(np.frombuffer(Encoder(BPE).encode([text, "b"])[0], "<u4"), plain(text))
+
+
 def test_pieces_survive_a_full_store(monkeypatch):
     import millrace.llm._tokens as m
 
     monkeypatch.setattr(m, "KEPT_PIECES", 5)
-    monkeypatch.setattr(m, "GROUP_CHARS", 20)
+    monkeypatch.setattr(m, "GROUP_BYTES", 20)
     texts = [t or "" for t in TEXTS] * 2
     encoder = m.Encoder(BPE)
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [plain(t) for t in texts]
@@ -43,7 +59,7 @@ def test_pieces_survive_a_full_store(monkeypatch):
 
 def test_other_tokenizers_encode_whole_texts():
     encoder = Encoder.of(tokenizer_file("word_bpe_49k.json"))
-    assert encoder.piece is None
+    assert not encoder.cuts
     assert np.frombuffer(encoder.encode(["Hello there"])[0], "<u4").tolist() == encoder.tokenizer.encode("Hello there", add_special_tokens=False).ids
 
 
@@ -139,14 +155,31 @@ def test_perfect_hash_is_minimal(keys):
     assert sorted(mph.slots(hashes).tolist()) == list(range(len(hashes)))
 
 
-def test_index_round_trip_and_unknown_keys():
+def test_index_round_trip_and_unknown_keys(monkeypatch):
     rng = np.random.default_rng(1)
-    hashes = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
-    lengths = rng.integers(1, 9, len(hashes))
-    index = token_store.Index.from_bytes(token_store.Index.build(hashes, lengths, np.ones(len(hashes), np.int64)).to_bytes())
-    found, offset, length, _ = index.find(hashes)
-    assert found.all() and (length == lengths).all() and (offset == np.cumsum(lengths) - lengths).all()
-    assert not index.find(rng.integers(0, 2**64, 1000, dtype=np.uint64))[0].any()
+    keys = np.unique(rng.integers(-(2**63), 2**63 - 1, 5000))
+    none, zero = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    lengths = rng.integers(1, 9, len(keys))
+    build = lambda: token_store.Index.build(keys, none, zero, lengths, np.ones(len(keys), np.int64))
+    plain_hash = token_store.key_hash
+    for first_seed in (0, 2):  # hashes that meet are tried with another seed
+        monkeypatch.setattr(token_store, "key_hash", lambda k, z, n, seed=0, least=first_seed: plain_hash(k, z, n, seed) * np.uint64(seed >= least))
+        index = token_store.Index.from_bytes(build().to_bytes())
+        assert index.seed == first_seed
+        found, offset, length, _ = index.find(keys, none, zero)
+        assert found.all() and (length == lengths).all() and (offset == np.cumsum(lengths) - lengths).all()
+        unknown = np.setdiff1d(rng.integers(-(2**63), 2**63 - 1, 1000), keys)
+        assert not index.find(unknown, np.zeros(len(unknown), bool), np.zeros(len(unknown), np.int64))[0].any()
+
+
+def test_null_and_least_key_are_two_keys(spark, tmp_path):
+    rows = [(None, f"n{i}") for i in range(40)] + [(-(2**63), "least"), (-(2**63) + 1, "next"), (2**63 - 1, "most")] + [(i, f"t {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"shard": F.lit("x"), "start": F.lit(1)})
+    for shards in (1, 3, 8):
+        uri = f"file://{tmp_path}/s{shards}"
+        token_store.write_store(df, uri, BPE, end_id=2, shards=shards)
+        got = token_store.read_keys(spark, uri, df, with_ids=True).collect()
+        assert sorted((str(r.doc_id), tuple(r.ids)) for r in got) == sorted((str(d), (*plain(t), 2)) for d, t in rows)
 
 
 # sentencepiece
@@ -173,6 +206,22 @@ def test_codec_parity_on_random_texts(text):
     codec.verify(text, codec.encode_texts([text])[0])
 
 
+def test_codec_parity_on_whole_random_texts():
+    rng = random.Random(9)
+    parts = [*"ab z0 \n,.'é▁中あ—\x00жΩ🙂\t", "  ", "abc", "Hello", " x", "\n\n", " \n "]
+    codec = sentencepiece_codec.Codec(SPM)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(5000)]
+    for text, ids in zip(texts, codec.encode_texts(texts), strict=True):
+        codec.verify(text, ids)
+
+
+def test_a_wrong_piece_is_an_error():
+    codec = sentencepiece_codec.Codec(SPM)
+    codec.reference = type("Other", (), {"encode": lambda self, texts: [[1]] * len(texts)})()
+    with pytest.raises(ValueError, match="parity"):
+        codec.encode_texts(["unheardof word"])
+
+
 def _field(number, kind, value):
     out = bytes([number << 3 | kind])
     if kind == 2:

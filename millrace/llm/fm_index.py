@@ -4,7 +4,9 @@ The text is a concatenation of segments, each ended by a separator.  Suffixes
 are sorted by their first ``depth`` symbols (prefix doubling), which suffices
 for patterns of up to ``depth`` symbols.  The transform is held in a wavelet
 matrix of bit planes with a count for each 64 bits: about ``log2(alphabet)`` times
-1.2 bits a symbol, against 64 of the symbols themselves.
+1.5 bits a symbol, against 64 of the symbols themselves.  Of the suffix array only
+what a search asks of it is kept: at each row, a value of its segment, as a code
+of 16 or 32 bits.  The sorted suffixes themselves go when the index is built.
 """
 
 from __future__ import annotations
@@ -56,34 +58,51 @@ class WaveletMatrix:
 class FMIndex:
     """Backward search over segments of symbols (hashes of words)."""
 
-    def __init__(self, segments: np.ndarray, lengths: np.ndarray, depth: int):
-        """``segments``: the symbols of all segments, one after another."""
+    def __init__(self, segments: np.ndarray, lengths: np.ndarray, depth: int, values: np.ndarray):
+        """``segments``: the symbols of all segments, one after another; ``values``: one of each segment."""
         self.depth = depth
-        self.symbols = np.unique(segments)  # dense codes from 1; 0 ends a segment
+        self.symbols, codes = np.unique(segments, return_inverse=True)  # dense codes from 1; 0 ends a segment
         n = len(segments) + len(lengths)
         ends = np.cumsum(lengths + 1) - 1
         text = np.zeros(n, np.int64)
         inside = np.ones(n, bool)
         inside[ends] = False
-        text[inside] = np.searchsorted(self.symbols, segments) + 1
-        self.segment_of = np.repeat(np.arange(len(lengths)), lengths + 1)
+        text[inside] = codes + 1
         rank, width = text.copy(), 1
         while True:  # rank: of suffixes by their first ``width`` symbols; those past a separator don't matter
             nxt = np.zeros(n, np.int64)
             nxt[: n - width] = rank[width:]
             key = rank * (n + len(self.symbols) + 2) + nxt
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
             rank = np.empty(n, np.int64)
             rank[order] = new
             width *= 2
             if width >= depth or new[-1] == n - 1:
                 break
-        self.suffixes = order
+        self.values, codes = np.unique(values, return_inverse=True)
+        self.code_of_row = np.repeat(codes.astype(np.min_scalar_type(len(self.values))), lengths + 1)[order]
         self.matrix = WaveletMatrix(text[order - 1], len(self.symbols) + 1)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.symbols) + 1))])
         self.size = n
 
+    @property
+    def nbytes(self) -> int:
+        """Bytes of what a search needs for each place of the text (not of the alphabet and the values)."""
+        return self.code_of_row.nbytes + sum(p.words.nbytes + p.counts.nbytes for p in self.matrix.planes)
+
+    def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The least value in each interval of rows."""
+        out = self.code_of_row[lo]
+        wide = np.flatnonzero(hi - lo > 1)
+        if len(wide):
+            begins, which = np.unique(lo[wide], return_inverse=True)
+            ends = np.zeros(len(begins), np.int64)
+            ends[which] = hi[wide]
+            padded = np.append(self.code_of_row, np.iinfo(self.code_of_row.dtype).max)
+            out[wide] = np.minimum.reduceat(padded, np.stack([begins, ends], axis=1).ravel())[::2][which]
+        return self.values[out]
+
     def codes(self, symbols: np.ndarray) -> np.ndarray:
         """Codes of symbols; -1 of those that the index does not have."""
         if not len(self.symbols):
@@ -96,13 +115,15 @@ class FMIndex:
         found = self.matrix.ranks(codes, np.stack([lo, hi]))
         return self.first[codes] + found[0], self.first[codes] + found[1]
 
-    def matching(self, codes: np.ndarray, room: np.ndarray, length: int, least_room: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matching(self, codes: np.ndarray, room: np.ndarray, length: int, least_room: int = 1, indexed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Backward search from the places of a streamed text, up to ``length`` symbols.
 
         ``room``: how many symbols a match that ends at the place may have (the
         place's own included); places with less than ``least_room`` are left out,
         as none that a match of interest ends at.  Returns the matching statistics (the length of
         the longest match that ends there, at most ``length``) and its interval.
+        ``indexed``: the streamed text is the index's own, so an interval of one
+        suffix is the place itself, and is carried to its full length by that.
         """
         n = len(codes)
         matched, lo, hi = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, self.size, np.int64)
@@ -122,4 +143,8 @@ class FMIndex:
             live = live[there]
             lo[live], hi[live] = a[there], b[there]
             matched[live] = step + 1
+            if indexed:
+                one = hi[live] - lo[live] == 1
+                matched[live[one]] = np.minimum(room[live[one]], length)
+                live = live[~one]
         return matched, lo, hi

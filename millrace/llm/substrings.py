@@ -32,19 +32,17 @@ any; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._common import durable, int64s, map_arrow, prepare
-from millrace.llm._text import Block, blocks, combine, mix
+from millrace.llm._text import Block, blocks, combine, mix, runs
 from millrace.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -58,7 +56,10 @@ SHARDS_PER_TASK = 8
 #: Bits of the set of shared anchors that tasks hold: a fixed size.  It only saves sending anchors that no join would keep.
 BITMAP_BITS = 1 << 26
 HIGHEST = 2**63 - 1
+#: Bytes of segments that wait in a task until equal ones are merged.
+MERGED_BYTES = 64_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 def anchors(block: Block, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,45 +112,76 @@ def _anchor_rows(window: int, known: Broadcast | None = None):
     return run
 
 
-class _Segments:
-    """Segments of a batch of documents with their shared anchors."""
-
-    def __init__(self, batch: pa.RecordBatch, window: int, queries_only: bool):
-        self.batch, self.window, self.queries_only = batch, window, queries_only
-
-    def __iter__(self) -> Iterator[tuple[int, int, int, bytes]]:
-        """Row, first word, shard key and words of each segment."""
-        column = self.batch.column("shared").combine_chunks() if isinstance(self.batch.column("shared"), pa.ChunkedArray) else self.batch.column("shared")
-        some = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-        if not len(some):
-            return
-        column, texts = column.take(pa.array(some)), self.batch.column("text").take(pa.array(some))
-        sizes = np.diff(column.offsets.to_numpy())
-        flat = column.flatten()
-        keys, hot, query = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("a", "hot", "query"))
-        owner = np.repeat(np.arange(len(some)), sizes)
-        if self.queries_only:
-            keys, hot, owner = keys[query], hot[query], owner[query]
-        marks = mix(keys.astype(np.int64).view(np.uint64) + owner.astype(np.uint64) * _ODD)
-        hot_marks = marks[hot.astype(bool)]
-        for block in blocks(texts):
-            at, doc, anchor = anchors(block, self.window)
-            mark = mix(anchor + (doc + block.lo).astype(np.uint64) * _ODD)
-            shared = np.isin(mark, marks)
-            if not shared.any():
-                continue
-            at, doc, anchor, alone = at[shared], doc[shared], anchor[shared], np.isin(mark[shared], hot_marks)
-            new = np.ones(len(at) + 1, bool)
-            new[1:-1] = (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | alone[1:] | alone[:-1]
-            edges = np.flatnonzero(new)
-            firsts, lasts = edges[:-1], edges[1:] - 1
-            last_doc, words = -1, []
-            local = at - block.first[doc]
-            for d, first, last, key, single in zip(*(x.tolist() for x in (doc[firsts], local[firsts], local[lasts], anchor[firsts].view(np.int64), alone[firsts])), strict=True):
-                if d != last_doc:
-                    last_doc, words = d, block.data[block.bounds[d] : block.bounds[d + 1]].tobytes().split()
-                seg = b" ".join(words[first : last + self.window])
-                yield int(some[block.lo + d]), first, xxhash.xxh64_intdigest(seg) - (1 << 63) if single else key, seg
+def sequence_ids(words: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """128-bit hashes (two rows) of runs of words, from the words' hashes."""
+    out = np.zeros((2, len(starts)), np.uint64)
+    for row, base in zip(out, _BASES, strict=True):
+        powers, inverse = (np.cumprod(np.full(len(words) + 1, b, np.uint64)) for b in (base, pow(base, -1, 1 << 64)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words + np.uint64(base)) * powers[: len(words)])])
+        row[:] = mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64) * _ODD)
+    return out
+
+
+def distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in an order in which equal ones stand together, where each group of equals begins in it, and each group's first row."""
+    order = np.lexsort(columns)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)
+    edges = np.flatnonzero(new)
+    return order, edges, order[edges]
+
+
+class Spans:
+    """Segments of a block of documents: runs of words around shared anchors."""
+
+    def __init__(self, block: Block, row: np.ndarray, first: np.ndarray, stop: np.ndarray, key: np.ndarray, alone: np.ndarray):
+        """``row``: of the batch; ``first, stop``: words of the block; ``alone``: a window with a shard of its own."""
+        self.row, self.place = row, first - block.first[block.doc_of()[first]]
+        self.ids = sequence_ids(block.span_hash(block.starts, block.ends), first, stop)
+        self.key = np.where(alone, self.ids[0], key)
+        # words with one space after each
+        keep = block.inside.copy()
+        keep[block.ends[block.ends < len(keep)]] = True
+        at = np.concatenate([[0], np.cumsum(keep)])
+        text = block.data[keep]
+        text[~block.inside[keep]] = 0x20
+        self.text, self.begin, self.end = text.tobytes(), at[block.starts[first]], at[block.ends[stop - 1]]
+
+
+def _segments(batch: pa.RecordBatch, window: int, queries_only: bool) -> Iterator[Spans]:
+    """The segments of a batch of documents with their shared anchors, block by block."""
+    column = batch.column("shared")
+    some = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    if not len(some):
+        return
+    column, texts = column.take(pa.array(some)), batch.column("text").take(pa.array(some))
+    flat = column.flatten()
+    keys, hot, query = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("a", "hot", "query"))
+    owner = np.repeat(np.arange(len(some)), np.diff(column.offsets.to_numpy()))
+    if queries_only:
+        keys, hot, owner = keys[query], hot[query], owner[query]
+    marks = mix(keys.astype(np.int64).view(np.uint64) + owner.astype(np.uint64) * _ODD)
+    order = np.argsort(marks)
+    marks, hot = marks[order], hot.astype(bool)[order]
+    if not len(marks):
+        return
+    for block in blocks(texts):
+        at, doc, anchor = anchors(block, window)
+        mark = mix(anchor + (doc + block.lo).astype(np.uint64) * _ODD)
+        # an anchor's windows mostly stand together
+        change = np.flatnonzero(np.diff(mark, prepend=~mark[:1])) if len(mark) else np.zeros(0, np.int64)
+        found = np.minimum(np.searchsorted(marks, mark[change]), len(marks) - 1)
+        found = np.repeat(np.where(marks[found] == mark[change], found, -1), np.diff(change, append=len(mark)))
+        shared = found >= 0
+        if not shared.any():
+            continue
+        at, doc, anchor, alone = at[shared], doc[shared], anchor[shared], hot[found[shared]]
+        new = np.ones(len(at) + 1, bool)
+        new[1:-1] = (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | alone[1:] | alone[:-1]
+        edges = np.flatnonzero(new)
+        firsts = edges[:-1]
+        yield Spans(block, some[block.lo + doc[firsts]], at[firsts], at[edges[1:] - 1] + window, anchor[firsts], alone[firsts])
 
 
 def _segment_rows(window: int, shards: int):
@@ -157,27 +189,28 @@ def _segment_rows(window: int, shards: int):
     tasks = task_count(shards)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array] | None:
-        ranks = int64s(batch.column("rank")).tolist()
-        found: dict[bytes, list[int]] = {}
-        for row, _, key, seg in _Segments(batch, window, False):
-            rank = ranks[row]
-            held = found.get(seg)
-            if held is None:
-                found[seg] = [rank, rank, key]
-            else:
-                held[0], held[1] = min(held[0], rank), max(held[1], rank)
-        if not found:
+        ranks = int64s(batch.column("rank"))
+        ids, shard, first, last, segments = [], [], [], [], []
+        for s in _segments(batch, window, False):
+            order, edges, one = distinct(*s.ids)
+            rank = ranks[s.row][order]
+            ids.append(s.ids[:, one])
+            shard.append((mix(s.key[one]) % np.uint64(shards)).astype(np.int64))
+            first.append(np.minimum.reduceat(rank, edges))
+            last.append(np.maximum.reduceat(rank, edges))
+            segments += [s.text[a:b] for a, b in zip(s.begin[one].tolist(), s.end[one].tolist(), strict=True)]
+        if not segments:
             return None
-        segments = list(found)
-        numbers = np.array(list(found.values()), np.int64)
-        shard = (mix(numbers[:, 2].view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        order, edges, one = distinct(*np.concatenate(ids, axis=1))
+        shard = np.concatenate(shard)[one]
+        first, last = np.minimum.reduceat(np.concatenate(first)[order], edges), np.maximum.reduceat(np.concatenate(last)[order], edges)
         order = np.argsort(shard % tasks, kind="stable")
         edges = np.flatnonzero(np.diff((shard % tasks)[order], prepend=-1, append=-1))
         to, payloads = [], []
         for lo, hi in zip(edges.tolist(), edges[1:].tolist(), strict=False):
             rows = order[lo:hi]
             to.append(int(shard[rows[0]] % tasks))
-            payloads.append(packed(shard[rows], numbers[rows, 0], numbers[rows, 1], [segments[i] for i in rows.tolist()]))
+            payloads.append(packed(shard[rows], first[rows], last[rows], [segments[i] for i in one[rows].tolist()]))
         return [pa.array(to, pa.int32()), pa.array(payloads, pa.binary())]
 
     return run
@@ -188,74 +221,102 @@ def task_count(shards: int) -> int:
 
 
 def packed(shard: np.ndarray, first: np.ndarray, last: np.ndarray, segments: list[bytes]) -> bytes:
-    head = np.concatenate([[len(segments)], shard, first, last]).astype("<i8").tobytes()
-    return zlib.compress(head + b"\n".join(segments), 1)
+    """Numbers and words of segments, compressed; the length stands before."""
+    data = np.concatenate([[len(segments)], shard, first, last]).astype("<i8").tobytes() + b"\n".join(segments)
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
-def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    data = zlib.decompress(data)
+def unpacked(data: bytes) -> tuple[np.ndarray, bytes]:
+    """A row each of shards, first and last ranks; and the segments, a line each."""
+    data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
     n = int(np.frombuffer(data, "<i8", 1)[0])
-    numbers = np.frombuffer(data, "<i8", 3 * n, 8).reshape(3, n)
-    return *numbers, data[8 * (3 * n + 1) :].split(b"\n")
+    return np.frombuffer(data, "<i8", 3 * n, 8).reshape(3, n), data[8 * (3 * n + 1) :]
 
 
 def _occurrence_rows(window: int):
     def run(batch: pa.RecordBatch) -> list[pa.Array] | None:
-        found = [(xxhash.xxh3_128_digest(seg), row, first) for row, first, _, seg in _Segments(batch, window, True)]
+        found = list(_segments(batch, window, True))
         if not found:
             return None
-        ids, rows, firsts = zip(*found, strict=True)
-        rows = pa.array(rows)
-        return [pa.array(ids, pa.binary()), batch.column("rank").take(rows), batch.column("h").take(rows), pa.array(firsts, pa.int32())]
+        rows = pa.array(np.concatenate([s.row for s in found]))
+        ids = np.concatenate([s.ids for s in found], axis=1).view(np.int64)
+        return [*(pa.array(x) for x in ids), batch.column("rank").take(rows), batch.column("h").take(rows), pa.array(np.concatenate([s.place for s in found]).astype(np.int32))]
 
     return run
 
 
-def shard_least(segments: list[bytes], least: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each of a shard's distinct segments, the least rank that has each of its windows."""
-    text = Block(np.frombuffer(b"\n".join(segments), np.uint8), np.zeros(0, np.int64), 0, 0)
-    lengths = np.array([len(s) for s in segments], np.int64)
-    starts = np.cumsum(lengths + 1) - lengths - 1
-    text.bounds = np.append(starts, len(text.data))
-    text.words()
-    symbols, counts = text.span_hash(text.starts, text.ends), text.counts
-    index = FMIndex(symbols, counts, window)
+class Shards:
+    """Distinct segments of some shards as sequences of hashes of words, with the least and greatest ranks that have them."""
+
+    def __init__(self) -> None:
+        self.numbers, self.counts, self.words = np.zeros((3, 0), np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.waiting: list[tuple[np.ndarray, bytes]] = []
+        self.size = 0
+
+    def add(self, numbers: np.ndarray, lines: bytes) -> None:
+        self.waiting.append((numbers, lines))
+        self.size += len(lines) + numbers.nbytes
+        if self.size > MERGED_BYTES:
+            self.merge()
+
+    def merge(self) -> None:
+        """Takes what waits, and merges equal segments of a shard."""
+        for numbers, lines in self.waiting:
+            data = np.frombuffer(lines, np.uint8)
+            text = Block(data, np.concatenate([[0], np.flatnonzero(data == 10), [len(data)]]), 0, 0)
+            text.words()
+            self.numbers = np.concatenate([self.numbers, numbers], axis=1)
+            self.counts = np.concatenate([self.counts, text.counts])
+            self.words = np.concatenate([self.words, text.span_hash(text.starts, text.ends)])
+        self.waiting, self.size = [], 0
+        starts = np.cumsum(self.counts) - self.counts
+        ids = sequence_ids(self.words, starts, starts + self.counts)
+        order, edges, one = distinct(*ids, self.numbers[0])
+        if len(one):
+            least, most = np.minimum.reduceat(self.numbers[1][order], edges), np.maximum.reduceat(self.numbers[2][order], edges)
+            self.words, self.counts, self.numbers = self.words[runs(starts[one], self.counts[one])], self.counts[one], np.stack([self.numbers[0][one], least, most])
+
+    def each(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Words, lengths, least and greatest ranks of each shard's segments."""
+        self.merge()
+        starts = np.cumsum(self.counts) - self.counts
+        for shard in np.unique(self.numbers[0]).tolist():
+            rows = np.flatnonzero(self.numbers[0] == shard)
+            yield self.words[runs(starts[rows], self.counts[rows])], self.counts[rows], *self.numbers[1:, rows]
+
+
+def shard_least(symbols: np.ndarray, counts: np.ndarray, least: np.ndarray, window: int) -> np.ndarray:
+    """For each place of a shard's distinct segments, the least rank that has the window that ends there."""
+    index = FMIndex(symbols, counts, window, least)
     streamed = index.codes(symbols)
-    room = np.arange(len(symbols)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
-    matched, lo, hi = index.matching(streamed, room, window, window)
-    of_suffix = np.append(least[index.segment_of[index.suffixes]], HIGHEST)
-    full = np.flatnonzero(matched >= window)
-    edges, which = np.unique(lo[full], return_inverse=True)
-    ends = np.zeros(len(edges), np.int64)
-    ends[which] = hi[full]
-    by_interval = np.minimum.reduceat(of_suffix, np.stack([edges, ends], axis=1).ravel())[::2] if len(edges) else edges
+    place = np.arange(len(symbols)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+    matched, lo, hi = index.matching(streamed, place, window, window, indexed=True)
     out = np.full(len(symbols), HIGHEST)
-    out[full] = by_interval[which]
-    first = np.cumsum(counts) - counts
-    return [out[f + window - 1 : f + n] for f, n in zip(first.tolist(), counts.tolist(), strict=True)]
+    full = np.flatnonzero(matched >= window)
+    out[full] = index.least(lo[full], hi[full])
+    return out
+
+
+LEAST = "id_a long, id_b long, least array<long>"
 
 
 def _shard_results(window: int):
     """The least ranks of each distinct segment's windows, if one of them is below a rank that has the segment."""
 
-    def results(rows: dict[bytes, list[int]]) -> pa.RecordBatch:
-        segments = list(rows)
-        numbers = np.array(list(rows.values()), np.int64)
-        found = shard_least(segments, numbers[:, 0], window)
-        useful = [i for i, x in enumerate(found) if len(x) and x.min() < numbers[i, 1]]
-        ids = pa.array([xxhash.xxh3_128_digest(segments[i]) for i in useful], pa.binary())
-        return pa.RecordBatch.from_arrays([ids, pa.array([found[i].tolist() for i in useful], pa.list_(pa.int64()))], names=["seg_id", "least"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[bytes, list[int]]] = {}
+        held = Shards()
         for b in batches:
             for payload in b.column(0):
-                for shard, first, last, seg in zip(*(x if isinstance(x, list) else x.tolist() for x in unpacked(payload.as_py())), strict=True):
-                    rows = held.setdefault(shard, {})
-                    old = rows.get(seg)
-                    rows[seg] = [first, last] if old is None else [min(first, old[0]), max(last, old[1])]
-        while held:
-            yield results(held.popitem()[1])
+                held.add(*unpacked(payload.as_py()))
+        for words, counts, first, last in held.each():
+            found = shard_least(words, counts, first, window)
+            ends = np.cumsum(counts)
+            useful = np.flatnonzero(np.minimum.reduceat(found, ends - counts) < last)
+            size = counts[useful] - window + 1
+            ids = sequence_ids(words, (ends - counts)[useful], ends[useful]).view(np.int64)
+            values = pa.array(found[runs((ends - counts)[useful] + window - 1, size)])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), values)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in ids), lists], names=["id_a", "id_b", "least"])
 
     return run
 
@@ -318,9 +379,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = moved.join(of_doc, (F.col("rank") == F.col("r")) & (F.col("h") == F.col("g")), "left").drop("r", "g")
     segments = map_arrow(joined, _segment_rows(window, shards), "part int, payload binary")
     sharded = segments.repartitionById(task_count(shards), F.col("part")).select("payload")
-    least = sharded.mapInArrow(_shard_results(window), "seg_id binary, least array<long>")
-    occurrences = map_arrow(joined, _occurrence_rows(window), "seg_id binary, rank long, h long, first int")
-    hits = occurrences.join(least, "seg_id").select("rank", "h", F.expr("transform(filter(transform(least, (x, i) -> IF(x < rank, i, -1)), i -> i >= 0), i -> i + first)").alias("at"))
+    least = sharded.mapInArrow(_shard_results(window), LEAST)
+    occurrences = map_arrow(joined, _occurrence_rows(window), "id_a long, id_b long, rank long, h long, first int")
+    hits = occurrences.join(least, ["id_a", "id_b"]).select("rank", "h", F.expr("transform(filter(transform(least, (x, i) -> IF(x < rank, i, -1)), i -> i >= 0), i -> i + first)").alias("at"))
     removed = hits.where("size(at) > 0").groupBy(F.col("rank").alias("r"), F.col("h").alias("g")).agg(F.flatten(F.collect_list("at")).alias("removed"))
     ended = moved.join(removed, (F.col("rank") == F.col("r")) & (F.col("h") == F.col("g")), "left").drop("r", "g")
     if carry is None:

@@ -89,3 +89,57 @@ def test_recall_does_not_hang_on_the_table():
         longs = [[np.array([near.simhash.majority(near.mix(s + o)) for s in (x, y)], np.uint64)] for o in near.simhash._OFFSETS]
         passed += bool(near._Near(np.array([200, 200]), [c for (c,) in longs], 0.8)(0, np.array([1]))[0])
     assert met >= 1998 and passed >= 1999
+
+
+def test_sets_simhashes_and_bands_are_those_of_single_texts():
+    """Blocks of many texts give what each text alone gives, and sets of the texts' shingles."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = ["", None, "a", "A b", "a b c d", "a b c d e", "x " * 9, "\t \n"] + [" ".join(rng.choice("abcD") for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    texts.append(" ".join(f"w{rng.randint(0, 50_000)}" for _ in range(200_000)))  # over a megabyte
+    sets = []
+    for _, found, counts in near.shingle_sets(pa.array(texts)):
+        sets += np.split(found, np.cumsum(counts)[:-1])
+    words = [(t or "").lower().split() for t in texts]
+    want = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    assert [len(s) for s in sets] == [len(s) for s in want]
+    for i in range(len(texts) - 1):
+        for j in range(i):
+            assert len(np.intersect1d(sets[i], sets[j])) == len(want[i] & want[j])
+    full = [s for s in sets if len(s)]
+    firsts = np.cumsum([0] + [len(s) for s in full[:-1]])
+    longs, keys = near.long_simhashes(np.concatenate(full), firsts), near.bands(np.concatenate(full), firsts)
+    for s, own, k in zip(full, longs, keys, strict=True):
+        assert own.tolist() == [near.simhash.majority(near.mix(s + o)) for o in near.simhash._OFFSETS]
+        assert k.tolist() == near.bands(s)[0].tolist()
+
+
+def test_null_columns_and_clashing_names(spark):
+    rng = random.Random(9)
+    a = " ".join(f"w{rng.randint(0, 9999)}" for _ in range(150))
+    rows = [(1, a, None, None, None, 5, 1), (2, a + " more", "en", None, 3, 6, 2), (None, None, None, None, None, None, None), (None, "", None, None, None, 1, 1), (3, "  ", "x", "y", 2, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, node long, bands long")
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == ["1", "3"]
+
+
+def test_simhash_links_are_candidates(spark):
+    """Fingerprints within three bits are found by the SimHash's own search, whatever the bands give."""
+    texts = corpus(random.Random(10), groups=20)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = near.described(docs, "doc_id", "text", 5)
+    prints = {r.node: r.c0 & (2**64 - 1) for r in classes.collect()}
+    found = [(r.u, r.v) for r in near.simhash_candidates(classes).collect()]
+    root = {n: n for n in prints}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for u, v in found:
+        assert (prints[u] ^ prints[v]).bit_count() <= near.TAU
+        root[top(u)] = top(v)
+    close = [(u, v) for u in prints for v in prints if u < v and (prints[u] ^ prints[v]).bit_count() <= near.TAU]
+    assert close and all(top(u) == top(v) for u, v in close)

@@ -435,7 +435,7 @@ def cdc_envelope_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("name"))
     payload = F.struct(op.alias("op"), F.when(op == "c", after).alias("after"), F.lit(1).alias("ts_ms"))
     rows.select(F.to_json(F.struct(payload.alias("payload")))).write.text(path)
-    text = f"pipeline: {{type: chain, transforms: [{{type: ReadFromDebezium, config: {{path: '{path}', max_records: 1000000000}}}}, {{type: Filter, config: {{field: op, operator: in, values: [c, r, u]}}}}, {{type: JsonToFields, config: {{field: after, fields: ['id:long', 'name:string'], drop_input: true}}}}, {{type: MapToFields, config: {{fields: {{id: id, name: name}}}}}}]}}"
+    text = f"pipeline: {{type: chain, transforms: [{{type: ReadFromDebezium, config: {{path: '{path}', follow: false}}}}, {{type: Filter, config: {{field: op, operator: in, values: [c, r, u]}}}}, {{type: JsonToFields, config: {{field: after, fields: ['id:long', 'name:string'], drop_input: true}}}}, {{type: MapToFields, config: {{fields: {{id: id, name: name}}}}}}]}}"
     return run(spark, sf_dir, text)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -16,16 +17,28 @@ from millrace.sources.files import FileOptions
 from millrace.streaming.windows import without_marks
 
 
-def publish(spark: SparkSession, staged: str, target: str, prefix: str) -> int:
-    """Renames a finished write's part files to ``prefix-00000-of-00004`` names; the driver moves names, not bytes."""
+def publish(spark: SparkSession, staged: str, target: str, prefix: str, replace: bool = False) -> int:
+    """Renames a finished write's part files to ``prefix-00000-of-00004`` names; the driver moves names, not bytes.
+
+    Files that an earlier run left under the prefix stay, and this run's names
+    get a mark of their own; with ``replace`` (a repeated batch of a stream) they
+    go.  The staged folder is removed when all its files are moved, never before.
+    """
     jvm = spark.sparkContext._jvm
     path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path(target))
+    taken = [s.getPath() for s in fs.listStatus(path(target)) if re.fullmatch(re.escape(prefix) + r"-\d{5}-of-\d{5}(\..*)?", s.getPath().getName())]
+    if taken and not replace:
+        prefix, taken = f"{prefix}-{uuid.uuid4().hex[:12]}", []
     names = sorted(s.getPath().getName() for s in fs.listStatus(path(staged)) if s.getPath().getName().startswith("part-"))
+    for old in taken:
+        fs.delete(old, False)
     for i, name in enumerate(names):
         suffix = name[name.index(".") :] if "." in name else ""
-        fs.rename(path(f"{staged}/{name}"), path(f"{target}/{prefix}-{i:05d}-of-{len(names):05d}{suffix}"))
+        final = f"{target}/{prefix}-{i:05d}-of-{len(names):05d}{suffix}"
+        if not fs.rename(path(f"{staged}/{name}"), path(final)):
+            raise RuntimeError(f"{staged}/{name} could not be moved to {final}; it and the files after it are still there")
     fs.delete(path(staged), True)
     return len(names)
 
@@ -73,7 +86,7 @@ class WriteToFilesystem(Sink):
         if df.isStreaming:
             from millrace.sinks.writer import start_stream
 
-            start_stream(df, lambda batch, n: self._write(batch, ctx.spark, f"{c.file_prefix}-{n}"), ctx)
+            start_stream(df, lambda batch, n: self._write(batch, ctx.spark, f"{c.file_prefix}-{n}", replace=True), ctx)
             return {ERRORS: none}
         if c.file_format != "text":
             self._write(df, ctx.spark, c.file_prefix)
@@ -85,7 +98,7 @@ class WriteToFilesystem(Sink):
         failed = bad.select(F.struct(*map(col, data.schema.names)).alias("element"), F.lit("ValueError").alias("error_type"), F.lit("content is null").alias("error_message"), F.lit(ctx.name).alias("transform"))
         return {ERRORS: Data(failed, letters)}
 
-    def _write(self, df: DataFrame, spark: SparkSession, prefix: str) -> None:
+    def _write(self, df: DataFrame, spark: SparkSession, prefix: str, replace: bool = False) -> None:
         c, target = self.config, self.config.full_path().rstrip("/")
         staged = f"{target}/_staged-{uuid.uuid4().hex}"
         if c.file_format == "xlsx":
@@ -97,7 +110,7 @@ class WriteToFilesystem(Sink):
             rows = df.select(*[csv_text(f).alias(f.name) for f in self.schema])
             writer = shape(rows, c.num_shards).write.option("header", c.header).option("sep", c.csv_delimiter).option("quote", c.csv_quote).option("escape", c.csv_quote)
             writer.option("encoding", c.encoding).option("emptyValue", "").option("nullValue", "").csv(staged)
-        publish(spark, staged, target, prefix)
+        publish(spark, staged, target, prefix, replace)
 
     def _write_xlsx(self, df: DataFrame, target: str, prefix: str) -> None:
         """One workbook: a format of one file, streamed by the driver."""

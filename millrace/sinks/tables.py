@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import Lock
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -62,6 +64,9 @@ class TableSink(Sink):
         return {ERRORS: Data(ctx.spark.read.schema(letters).parquet(path), letters)}
 
 
+#: Parts that are written at a time, and rejects that are saved together.
+PARTS_AT_ONCE = 8
+SAVED_AT_ONCE = 10_000
 #: SQL states of deadlocks and serialization failures, which are tried again.
 RETRIED_STATES = ("40001", "40P01")
 
@@ -72,7 +77,7 @@ def retried(error: Exception) -> bool:
 
 @transform
 class WriteToJdbc(Sink):
-    """Plain inserts.  With dead letters, a batch that fails is isolated row by row."""
+    """Plain inserts.  With dead letters, rows that fail are isolated by halving."""
 
     type = "WriteToJdbc"
     tier = "experimental"
@@ -105,50 +110,73 @@ class WriteToJdbc(Sink):
             start_stream(df, lambda batch, _: self._append(batch), ctx)
             return {ERRORS: none}
         if not ctx.errors_wanted:
-            self._append(df)
+            self._parts(df, ctx, None)
             return {ERRORS: none}
         path = new_path(ctx.spark, "dead-letters")
-        self._isolated(df, ctx).write.parquet(path)
+        none.df.write.parquet(path)
+        self._parts(df, ctx, path)
         return {ERRORS: Data(ctx.spark.read.schema(letters).parquet(path), letters)}
 
     def _append(self, df: DataFrame) -> None:
+        """Appends rows; a task is a transaction, and Spark repeats a failed one, so that nothing is written twice."""
+        c = self.config
+        df.write.format("jdbc").mode("append").options(**c.options(), dbtable=c.table, batchsize=str(c.batch_size), isolationLevel="READ_COMMITTED").save()
+
+    def _transaction(self, rows: DataFrame) -> None:
+        """Appends rows by one task, so in one transaction, which may be tried again."""
         c = self.config
-        writer = df.write.format("jdbc").mode("append").options(**c.options(), dbtable=c.table, batchsize=str(c.batch_size), isolationLevel="READ_COMMITTED")
         for attempt in range(c.retry_max_attempts + 1):
             try:
-                return writer.save()
+                return self._append(rows.coalesce(1))
             except Exception as e:
                 if attempt == c.retry_max_attempts or not retried(e):
                     raise
                 time.sleep(min(c.retry_max_seconds, c.retry_initial_seconds * 2**attempt))
 
-    def _isolated(self, df: DataFrame, ctx: Context) -> DataFrame:
-        """Halves a batch that fails until single rows are left; only those are rejected.
+    def _parts(self, df: DataFrame, ctx: Context, letters: str | None) -> None:
+        """Appends the rows part by part, several at once; the executors write, the driver starts the jobs.
 
-        Rows are staged with numbers, so a part is written by one append of a
-        number range; parts that succeed are not written again.
+        Rows are staged with numbers, so a part is a number range in one staged
+        file, and parts that succeed are not written again.  With dead letters, a
+        part that fails is halved until batches, and then single rows, are left;
+        only those are rejected, and saved as they come.
         """
-        numbered = df.select(F.monotonically_increasing_id().alias("_n"), *map(col, df.columns))
         stage = new_path(ctx.spark, "jdbc-stage")
-        numbered.write.parquet(stage)
+        df.select(F.monotonically_increasing_id().alias("_n"), *map(col, df.columns)).write.parquet(stage)
         rows = ctx.spark.read.parquet(stage)
         per_file = rows.groupBy(F.shiftright("_n", 33).alias("p")).agg(F.min("_n").alias("low"), F.max("_n").alias("high")).collect()  # one for each partition
-        size = self.config.batch_size
-        parts = [(at, min(at + size - 1, r.high)) for r in per_file for at in range(r.low, r.high + 1, size)]
-        bad: list[tuple[int, str, str]] = []
-        while parts:
-            low, high = parts.pop()
-            part = rows.where(f"_n between {low} and {high}").drop("_n").coalesce(1)
-            try:
-                self._append(part)
-            except Exception as e:
-                if low < high:
-                    mid = (low + high) // 2
-                    parts += [(low, mid), (mid + 1, high)]
-                else:
-                    bad.append((low, *_cause(e)))
+        saving = Lock()
+
+        def write(low: int, high: int) -> None:
+            todo, bad = [(low, high)], []
+            while todo:
+                low, high = todo.pop()
+                try:
+                    self._transaction(rows.where(f"_n between {low} and {high}").drop("_n"))
+                except Exception as e:
+                    if letters is None:
+                        raise
+                    if low < high:
+                        middle = (low + high) // 2
+                        todo += [(low, middle), (middle + 1, high)]
+                    else:
+                        bad.append((low, *_cause(e)))
+                if bad and (len(bad) >= SAVED_AT_ONCE or not todo):
+                    self._save(rows, bad, ctx, letters, saving)
+                    bad = []
+
+        with ThreadPoolExecutor(PARTS_AT_ONCE) as pool:
+            for done in [pool.submit(write, r.low, r.high) for r in per_file]:
+                done.result()
+
+    def _save(self, rows: DataFrame, bad: list[tuple[int, str, str]], ctx: Context, letters: str, saving: Lock) -> None:
+        """Appends the rejects (``SAVED_AT_ONCE`` at most) to the dead letters."""
         failed = ctx.spark.createDataFrame(bad, "_n long, error_type string, error_message string")
-        return rows.join(F.broadcast(failed), "_n").select(F.struct(*map(col, df.columns)).alias("element"), "error_type", "error_message", F.lit(ctx.name).alias("transform"))
+        low, high = min(b[0] for b in bad), max(b[0] for b in bad)
+        found = rows.where(f"_n between {low} and {high}").join(F.broadcast(failed), "_n")
+        names = [n for n in rows.columns if n != "_n"]
+        with saving:  # one commit to the folder at a time
+            found.select(F.struct(*map(col, names)).alias("element"), "error_type", "error_message", F.lit(ctx.name).alias("transform")).write.mode("append").parquet(letters)
 
 
 def _cause(error: Exception) -> tuple[str, str]:

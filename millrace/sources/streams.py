@@ -284,7 +284,8 @@ def change_events(df: DataFrame, value: str = "value", key: str | None = None) -
 class ReadFromDebezium(Source):
     """Change events: from an engine client, or as JSON lines of a directory that a capture process fills.
 
-    The stream's checkpoint takes the place of offset files and leases.
+    The stream's checkpoint takes the place of offset files and leases.  With
+    ``follow: false`` a path is read once, as a batch of all that it holds.
     """
 
     type = "ReadFromDebezium"
@@ -312,9 +313,12 @@ class ReadFromDebezium(Source):
         job_id: str | None = None
         extra: dict[str, Any] | None = None
         path: str = ""
+        follow: bool = True
 
     def check(self) -> None:
         c = self.config
+        if not c.follow and not c.path:
+            raise PipelineError("follow: false reads what a path holds, so it needs one")
         if c.port is not None and not 1 <= c.port <= 65535 or c.max_records is not None and c.max_records < 1 or c.lease_timeout_ms < 1:
             raise PipelineError("port, max_records or lease_timeout_ms is out of range")
         if c.path:
@@ -328,7 +332,7 @@ class ReadFromDebezium(Source):
             raise PipelineError("an unbounded job needs offset_file (and schema_history_file for mysql), or allow_ephemeral_state")
 
     def unbounded(self) -> bool:
-        return self.config.max_records is None
+        return self.config.max_records is None and self.config.follow
 
     def delivery(self) -> Delivery:
         return Delivery("AT_LEAST_ONCE", "RESUMABLE" if self.unbounded() else "FULL_REPLAY", "GLOBAL")
@@ -338,7 +342,9 @@ class ReadFromDebezium(Source):
         if c.path:
             reader = ctx.spark.readStream if self.unbounded() else ctx.spark.read
             df = change_events(reader.schema("value string").text(c.path))
-            return Data.of(df.limit(c.max_records) if c.max_records else event_time(df.withColumn("_ts", F.timestamp_millis("ts_ms")), "_ts").drop("_ts"))
+            if self.unbounded():
+                return Data.of(event_time(df.withColumn("_ts", F.timestamp_millis("ts_ms")), "_ts").drop("_ts"))
+            return Data.of(df.limit(c.max_records) if c.max_records else df)
         factory = clients.factory("debezium")
         if not self.unbounded():
             df = read_partitions(ctx.spark, [{}], codecs.CHANGES, factory, c, lambda client, p: client.read(p))

@@ -124,6 +124,36 @@ def test_batches_and_retries():
     assert [(x["element"]["v"], x["error_type"], x["transform"]) for x in letters] == [(None, "AttributeError", "t"), ("x", "OSError", "t")]
 
 
+def test_a_second_run_into_one_folder_loses_no_row(spark, tmp_path):
+    from millrace.sinks.files import publish
+
+    for values in ("ab", "cd", "ef"):
+        staged = f"{tmp_path}/out/_staged-{values}"
+        spark.createDataFrame([(v,) for v in values], "content string").coalesce(1).write.text(staged)
+        assert publish(spark, staged, f"{tmp_path}/out", "output") == 1
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/out").collect()) == list("abcdef")
+    # a repeated batch of a stream takes its own place
+    for values in ("gh", "hi"):
+        staged = f"{tmp_path}/out/_staged-{values}"
+        spark.createDataFrame([(v,) for v in values], "content string").coalesce(1).write.text(staged)
+        publish(spark, staged, f"{tmp_path}/out", "output-7", replace=True)
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/out").collect()) == list("abcdefhi")
+
+
+def test_a_failed_move_keeps_the_staged_files(spark, tmp_path, monkeypatch):
+    import os
+
+    from millrace.sinks.files import publish
+
+    staged = f"{tmp_path}/out/_staged"
+    spark.createDataFrame([(v,) for v in "ab"], "content string").repartition(2).write.text(staged)
+    os.makedirs(f"{tmp_path}/out/x-00001-of-00002.txt/full")  # a folder stands where the second file goes
+    open(f"{tmp_path}/out/x-00001-of-00002.txt/full/file", "w").close()
+    with pytest.raises(Exception, match="moved|not empty"):
+        publish(spark, staged, f"{tmp_path}/out", "x", replace=True)
+    assert os.path.isdir(staged)
+
+
 def test_file_sink_names_and_nulls(spark, tmp_path):
     text = f"""
 pipeline:

@@ -13,13 +13,14 @@ Bands: texts that share one of ``BANDS`` hashes of ``ROWS`` min-hashes each,
 whatever the size of the table: a pair of similarity s is missed with a
 probability of (1 - s**ROWS)**BANDS, 7e-5 at 0.8.
 
-Sizes of the sets and a long SimHash, with five standard deviations' allowance,
+Sizes of the sets and a long SimHash, with four standard deviations' allowance,
 drop most candidates that are not similar; the others are compared set by set.
 
 A band's group of more than ``SMALL`` gives a spanning forest of its candidates.
-Where an exact comparison refutes a link of a forest, all candidates of that
-group which the exact links don't connect are compared, so that a forest never
-costs a link.
+Where an exact comparison refutes a link of a forest, the group's nodes are
+compared with their ``NEAREST`` candidates that the exact links don't connect
+with them, then with ``FARTHER`` times as many, and so on until there are no more:
+so a forest costs no link, and what a link connects is not compared again.
 
 Copies (texts of the same set) cost one row.  Of each component one row is kept,
 of the least id (nulls last) and then of the least hash of the text.  Null and
@@ -52,7 +53,9 @@ TOGETHER = 64
 #: Parts in which the links of one fingerprint's texts are compared.
 SALTS = 4096
 #: Standard deviations by which the SimHashes of similar sets may differ more than they do on average.
-ALLOWED = 5
+ALLOWED = 4
+#: Nearest candidates that a node is compared with first, and how many times as many in each next round.
+NEAREST, FARTHER = 16, 4
 _random = np.random.Generator(np.random.PCG64(20240301))
 _FLIPS, _TIMES = (_random.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64) for _ in range(2))
 _TIMES |= np.uint64(1)
@@ -139,12 +142,15 @@ class _Near:
     def __init__(self, sizes: np.ndarray, longs: list[np.ndarray], similarity: float):
         self.sizes, self.longs, self.similarity, self.most = sizes, [c.view(np.uint64) for c in longs], similarity, most_apart(similarity)
 
-    def __call__(self, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
-        apart = np.zeros(len(b), np.int64)
+    def apart(self, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(b), np.int64)
         for c in self.longs:
-            apart += np.bitwise_count(c[a] ^ c[b])
+            out += np.bitwise_count(c[a] ^ c[b])
+        return out
+
+    def __call__(self, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
         x, y = self.sizes[a], self.sizes[b]
-        return (apart <= self.most) & (np.minimum(x, y) >= self.similarity * np.maximum(x, y))
+        return (self.apart(a, b) <= self.most) & (np.minimum(x, y) >= self.similarity * np.maximum(x, y))
 
 
 def _by_key(of_groups: Callable) -> Callable:
@@ -199,19 +205,28 @@ def _candidates(similarity: float) -> Callable:
     return _by_key(of_groups)
 
 
-def _unconnected(similarity: float) -> Callable:
-    """Of rows ``key, node, label`` and SIDES: all candidates of different labels."""
+def _unconnected(similarity: float, begin: int, end: int) -> Callable:
+    """Of rows ``key, node, label`` and SIDES: each node's candidates from the ``begin``-th nearest to the ``end``-th that have another label.
+
+    A row with ``forest`` tells that a group has such candidates farther on.
+    """
 
     def of_groups(columns: list[np.ndarray]) -> pa.RecordBatch:
         keys, nodes, labels, near = columns[0], columns[1], columns[2], _Near(columns[3], columns[4:], similarity)
         edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
         found = []
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            for i in range(lo, hi - 1):
-                others = np.arange(i + 1, hi)
-                others = others[labels[others] != labels[i]]
-                others = others[near(i, others)]
-                found.append((np.full(len(others), keys[lo]), np.full(len(others), nodes[i]), nodes[others], np.arange(len(others)) // TOGETHER, np.zeros(len(others), bool)))
+            every, more = np.arange(lo, hi), False
+            for i in range(lo, hi):
+                others = every[(every != i) & near(i, every)]
+                if len(others) > begin:
+                    others = others[np.lexsort((nodes[others], near.apart(i, others)))]  # an order that no label changes
+                    others, rest = others[begin:end], others[end:]
+                    more |= bool((labels[rest] != labels[i]).any())
+                    others = others[labels[others] != labels[i]]
+                    found.append((np.full(len(others), keys[lo]), np.full(len(others), nodes[i]), nodes[others], np.arange(len(others)) // TOGETHER, np.zeros(len(others), bool)))
+            if more:
+                found.append((keys[lo : lo + 1], nodes[lo : lo + 1], nodes[lo : lo + 1], np.zeros(1, np.int64), np.ones(1, bool)))
         return _out(found)
 
     return _by_key(of_groups)
@@ -260,17 +275,18 @@ def links(classes: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     once = lambda found: found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("salt").alias("salt"))
     near = durable(once(first.select("u", "v", "salt").union(simhash_candidates(classes))), "pairs")
     seen = compared(near, texts, shingle, similarity, "compared")
-    good = seen.where("similar").select("u", "v")
-    refuted = seen.where("not similar").select("u", "v")
     in_forest = first.where("forest").select("key", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    again = durable(in_forest.join(refuted, ["u", "v"]).select("key").distinct(), "again")
-    if again.isEmpty():
-        return good
-    labels = stars(good, "exact-stars").select(F.col("u").alias("node"), F.col("v").alias("label"))
-    these = rows.join(again, "key", "left_semi").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), *SIDES)
-    more = these.repartition("key").sortWithinPartitions("key").mapInArrow(_unconnected(similarity), LINKS)
-    fresh = durable(once(more).join(refuted, ["u", "v"], "left_anti"), "more")
-    return good.union(compared(fresh, texts, shingle, similarity, "compared").where("similar").select("u", "v"))
+    again = durable(in_forest.join(seen.where("not similar"), ["u", "v"]).select("key").distinct(), "again")
+    begin, end = 0, NEAREST
+    while not again.isEmpty():
+        labels = stars(seen.where("similar").select("u", "v"), "exact-stars").select(F.col("u").alias("node"), F.col("v").alias("label"))
+        these = rows.join(again, "key", "left_semi").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), *SIDES)
+        found = durable(these.repartition("key").sortWithinPartitions("key").mapInArrow(_unconnected(similarity, begin, end), LINKS), "nearest")
+        again = durable(found.where("forest").select("key").distinct(), "again")
+        fresh = durable(once(found.where("not forest")).join(seen, ["u", "v"], "left_anti"), "more")
+        seen = seen.union(compared(fresh, texts, shingle, similarity, "compared"))
+        begin, end = end, FARTHER * end
+    return seen.where("similar").select("u", "v")
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -143,3 +143,25 @@ def test_simhash_links_are_candidates(spark):
         root[top(u)] = top(v)
     close = [(u, v) for u in prints for v in prints if u < v and (prints[u] ^ prints[v]).bit_count() <= near.TAU]
     assert close and all(top(u) == top(v) for u, v in close)
+
+
+def test_rounds_of_nearest_candidates_lose_no_link_and_compare_few(spark, monkeypatch):
+    """A large group of near copies of which some are near few others: all links, by fewer comparisons than half of the pairs."""
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(200)]
+    texts = []
+    for i in range(400):
+        words = list(texts[-1].split() if texts and i % 40 == 1 else base)
+        for j in rng.sample(range(200), rng.choice([2, 3, 4, 5, 6, 7, 12])):
+            words[j] = f"v{rng.randint(0, 99999)}"
+        texts.append(" ".join(words))
+    compared, plain = [], near.compared
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(near, "compared", counting)
+    monkeypatch.setattr(near, "NEAREST", 4)
+    assert kept_ids(spark, texts) == set(brute(texts))
+    assert len(compared) > 2 and sum(compared) < 400 * 399 / 2 / 2

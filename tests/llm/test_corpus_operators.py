@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -68,18 +69,20 @@ def test_scores_against_their_definition(spark):
     labels = [(i, 1 if i % 3 else 0, None if i % 4 else 1) for i in range(0, 120, 2)]
     trusted = {i for i, good, toxic in labels if good and not toxic}
 
+    n_buckets = 16384 + math.isqrt(sum(len((t or "").encode()) for t in texts))
+
     def buckets(text):
         words = (text or "").encode().split()
         hashes = [int(next(iter(blocks(pa.array([w], pa.binary())))).span_hash(np.array([0]), np.array([len(w)]))[0]) for w in words]
         pair = lambda a, b: int(mix(np.array([(a * int(spread(0)) + b * int(spread(1))) % 2**64], np.uint64))[0])
-        return Counter(h % quality.BUCKETS for h in hashes + [pair(a, b) for a, b in zip(hashes, hashes[1:], strict=False)])
+        return Counter(h % n_buckets for h in hashes + [pair(a, b) for a, b in zip(hashes, hashes[1:], strict=False)])
 
     own = [buckets(t) for _, t in rows]
     raw, target = sum(own, Counter()), sum((c for (d, _), c in zip(rows, own, strict=True) if d in trusted), Counter())
-    scale = target.total() / raw.total()
+    scale, add = target.total() / raw.total(), 8 + 0.03 * target.total() / n_buckets
     want = {}
     for (d, t), c in zip(rows, own, strict=True):
-        ratio = sum(n * np.log((target[b] - n * (d in trusted) + quality.ADDED) / ((raw[b] - n) * scale + quality.ADDED)) for b, n in c.items())
+        ratio = sum(n * np.log((target[b] - n * (d in trusted) + add) / ((raw[b] - n) * scale + add)) for b, n in c.items())
         want.setdefault((d, len((t or "").split())), []).append(ratio / (c.total() + quality.NEUTRAL))
     got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     seen = {}

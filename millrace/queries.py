@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import glob
 import json
+import os
+import re
+import shutil
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.errors import CapabilityError
 from millrace.functions import aggregates, cells, codecs, predicates, sampling
 from millrace.functions.types import parse_fields
 from millrace.operators.transforms import dead_letter_schema
@@ -352,12 +359,48 @@ def _derby(spark: SparkSession, name: str) -> str:
     return f"jdbc:derby:memory:{name}{uuid.uuid4().hex[:8]};create=true"
 
 
+def _database(spark: SparkSession, tables: dict[str, tuple[str, DataFrame]]) -> str:
+    """The URL of a Derby database with these tables (columns in SQL, and rows), which every process can read.
+
+    An embedded database that can be written belongs to one process, so the
+    driver fills it, in bulk from files that the executors write.  Packed as an
+    archive in the shared folder it is read-only, and any number of executors
+    read it at once.
+    """
+    path = new_path(spark, "database")
+    scheme, _, place = path.rpartition(":")
+    if scheme not in ("", "file"):
+        raise CapabilityError("the database must lie in a folder that is mounted where the executors run")
+    place = re.sub("^/+", "/", place)
+    manager = spark.sparkContext._jvm.java.sql.DriverManager
+    connection = manager.getConnection(f"jdbc:derby:{place}/db;create=true")
+    try:
+        statement = connection.createStatement()
+        for name, (columns, rows) in tables.items():
+            statement.execute(f"CREATE TABLE {name} ({columns})")
+            quoted = [F.coalesce(F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"')), F.lit("")) for c in rows.columns]  # nulls are not quoted
+            rows.select(F.concat_ws(",", *quoted)).write.text(f"{path}/{name}")
+            for part in sorted(glob.glob(f"{glob.escape(place)}/{name}/part-*")):
+                statement.execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, '{name}', '{part}', NULL, NULL, 'UTF-8', 0)")
+            shutil.rmtree(f"{place}/{name}")
+    finally:
+        connection.close()
+        with contextlib.suppress(Exception):  # Derby tells by an exception that it has shut down
+            manager.getConnection(f"jdbc:derby:{place}/db;shutdown=true")
+    with zipfile.ZipFile(f"{place}/db.jar", "w") as packed:  # stored, so that pages are found by their place
+        for folder, _, names in os.walk(f"{place}/db"):
+            for name in names:
+                if not name.endswith(".lck"):
+                    packed.write(f"{folder}/{name}", os.path.relpath(f"{folder}/{name}", place))
+    shutil.rmtree(f"{place}/db")
+    return f"jdbc:derby:jar:({place}/db.jar)db"
+
+
 @query("SELECT CAST(k AS BIGINT) AS k, s FROM (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders UNION ALL SELECT NULL, 'none')")
 def jdbc_range_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written to and read from a database in ranges of a column, with a chunk for nulls."""
-    url = _derby(spark, "ranges")
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("K"), F.col("o_orderstatus").alias("S"))
-    rows.union(spark.createDataFrame([(None, "none")], rows.schema)).write.format("jdbc").options(url=url, dbtable="T").option("createTableColumnTypes", "S VARCHAR(8)").save()
+    url = _database(spark, {"T": ("K BIGINT, S VARCHAR(8)", rows.union(spark.createDataFrame([(None, "none")], rows.schema)))})
     text = f"pipeline: {{type: composite, output: R, transforms: [{{type: ReadFromJdbc, name: R, config: {{url: '{url}', tables: [T], partition_column: K, partition_num: 3}}}}]}}"
     return run(spark, sf_dir, text).select(F.col("K").alias("k"), F.col("S").alias("s"))
 

@@ -352,13 +352,6 @@ def partition_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sources and sinks
 
 
-def _derby(spark: SparkSession, name: str) -> str:
-    """An in-memory database that ships with Spark; one per call."""
-    import uuid
-
-    return f"jdbc:derby:memory:{name}{uuid.uuid4().hex[:8]};create=true"
-
-
 def _database(spark: SparkSession, tables: dict[str, tuple[str, DataFrame]]) -> str:
     """The URL of a Derby database with these tables (columns in SQL, and rows), which every process can read.
 
@@ -407,10 +400,9 @@ def jdbc_range_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_nationkey AS k, n_name AS name FROM nation")
 def table_range_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = _derby(spark, "tables")
-    rows = table(spark, sf_dir, "nation")
-    for i in range(4):
-        rows.where(F.pmod("n_nationkey", F.lit(4)) == i).select(F.col("n_nationkey").alias("K"), F.col("n_name").alias("NAME")).write.format("jdbc").options(url=url, dbtable=f"T_{i:02d}").option("createTableColumnTypes", "NAME VARCHAR(64)").save()
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("K"), F.col("n_name").alias("NAME"))
+    parts = {f"T_{i:02d}": ("K INTEGER, NAME VARCHAR(64)", rows.where(F.coalesce(F.pmod("K", F.lit(4)), F.lit(0)) == i)) for i in range(4)}
+    url = _database(spark, parts)
     text = f"pipeline: {{type: composite, output: R, transforms: [{{type: ReadFromJdbc, name: R, config: {{url: '{url}', tables: ['T_${{00-03}}']}}}}]}}"
     return run(spark, sf_dir, text).select(F.col("K").alias("k"), F.col("NAME").alias("name"))
 

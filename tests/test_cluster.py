@@ -37,7 +37,7 @@ def on_cluster(name, tmp_path):
     return str(tmp_path / "shared" / "out")
 
 
-@pytest.mark.parametrize("name", ["jdbc_range_union"])
+@pytest.mark.parametrize("name", ["jdbc_range_union", "table_range_union"])
 def test_every_executor_reads_the_database(spark, tmp_path, name):
     from millrace import queries
 

@@ -17,10 +17,16 @@ Sizes of the sets and a long SimHash, with four standard deviations' allowance,
 drop most candidates that are not similar; the others are compared set by set.
 
 A band's group of more than ``SMALL`` gives a spanning forest of its candidates.
-Where an exact comparison refutes a link of a forest, the group's nodes are
-compared with their ``NEAREST`` candidates that the exact links don't connect
-with them, then with ``FARTHER`` times as many, and so on until there are no more:
-so a forest costs no link, and what a link connects is not compared again.
+Where an exact comparison refutes a link of a forest, and the exact links don't
+connect the group otherwise, its nodes' sets are joined by prefixes.  Shingles
+stand in the order of how many of these sets have them, rare ones first.  Of two
+similar sets the first shingle in common has no more before it than the threshold
+lets either miss, so a set is looked up by its first fifth at most, and a set
+that is not similar to what its group has in common mostly by shingles of its own,
+which no other set has.  So a forest costs no link, and sets below the threshold
+are not compared pair by pair.  Of more candidates than ``NEAREST`` a node, the
+nearest are compared first, then ``FARTHER`` times as many, and so on; what a link
+connects by then is not compared.
 
 Copies (texts of the same set) cost one row.  Of each component one row is kept,
 of the least id (nulls last) and then of the least hash of the text.  Null and
@@ -35,7 +41,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import simhash
@@ -54,7 +60,7 @@ TOGETHER = 64
 SALTS = 4096
 #: Standard deviations by which the SimHashes of similar sets may differ more than they do on average.
 ALLOWED = 4
-#: Nearest candidates that a node is compared with first, and how many times as many in each next round.
+#: Nearest of many candidates that a node is compared with first, and how many times as many in each next round.
 NEAREST, FARTHER = 16, 4
 _random = np.random.Generator(np.random.PCG64(20240301))
 _FLIPS, _TIMES = (_random.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64) for _ in range(2))
@@ -205,43 +211,92 @@ def _candidates(similarity: float) -> Callable:
     return _by_key(of_groups)
 
 
-def _unconnected(similarity: float, begin: int, end: int) -> Callable:
-    """Of rows ``key, node, label`` and SIDES: each node's candidates from the ``begin``-th nearest to the ``end``-th that have another label.
+def least_overlap(sizes: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles that similar sets of these sizes have in common at least."""
+    return np.ceil(similarity / (1 + similarity) * (sizes + others) - 1e-6)
 
-    A row with ``forest`` tells that a group has such candidates farther on.
+
+def prefixes(similarity: float) -> Callable:
+    """Of rows ``node, label``, SIDES and ``shared``: the shingles, and their places, by which similar sets can meet first.
+
+    ``shared`` has the set's shingles that other sets have too, and how many have
+    each; those of the set alone stand before them.
     """
 
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        sizes, shared = int64s(batch.column(2)), batch.column(batch.num_columns - 1)
+        counts, flat = shared.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), shared.flatten()
+        n, tokens = (int64s(flat.field(k)) for k in ("n", "token"))
+        rows = np.repeat(np.arange(batch.num_rows), counts)
+        order = np.lexsort((tokens, n, rows))
+        places = sizes[rows] - counts[rows] + runs(np.zeros(len(counts), np.int64), counts)
+        first = np.flatnonzero(sizes[rows] - places >= np.ceil(similarity * sizes[rows] - 1e-6))  # with the smallest set that can be similar
+        take = pa.array(rows[first])
+        return [pa.array(tokens[order][first]), pa.array(places[first]), *(batch.column(k).take(take) for k in range(batch.num_columns - 1))]
+
+    return run
+
+
+MEETINGS = "u long, v long, apart long"
+
+
+def _meetings(similarity: float) -> Callable:
+    """Of rows ``token, place, node, label`` and SIDES: candidates that meet at a shingle and that no link connects."""
+
     def of_groups(columns: list[np.ndarray]) -> pa.RecordBatch:
-        keys, nodes, labels, near = columns[0], columns[1], columns[2], _Near(columns[3], columns[4:], similarity)
-        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        tokens, places, nodes, labels, sizes = columns[:5]
+        near = _Near(sizes, columns[5:], similarity)
+        edges = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
         found = []
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            every, more = np.arange(lo, hi), False
-            for i in range(lo, hi):
-                others = every[(every != i) & near(i, every)]
-                if len(others) > begin:
-                    others = others[np.lexsort((nodes[others], near.apart(i, others)))]  # an order that no label changes
-                    others, rest = others[begin:end], others[end:]
-                    more |= bool((labels[rest] != labels[i]).any())
-                    others = others[labels[others] != labels[i]]
-                    found.append((np.full(len(others), keys[lo]), np.full(len(others), nodes[i]), nodes[others], np.arange(len(others)) // TOGETHER, np.zeros(len(others), bool)))
-            if more:
-                found.append((keys[lo : lo + 1], nodes[lo : lo + 1], nodes[lo : lo + 1], np.zeros(1, np.int64), np.ones(1, bool)))
-        return _out(found)
+            own, counts = np.unique(labels[lo:hi], return_counts=True)
+            if len(own) == 1:
+                continue
+            every, rest = np.arange(lo, hi), sizes[lo:hi] - places[lo:hi]
+            for i in np.flatnonzero(labels[lo:hi] != own[counts.argmax()]).tolist():  # a pair of two labels has one of these
+                i += lo
+                enough = np.minimum(sizes[i] - places[i], rest) >= least_overlap(sizes[i], sizes[lo:hi], similarity)
+                others = every[enough & (labels[lo:hi] != labels[i])]
+                others = others[near(i, others)]
+                found.append((np.minimum(nodes[i], nodes[others]), np.maximum(nodes[i], nodes[others]), near.apart(i, others)))
+        columns = [np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else [()] * 3)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "v", "apart"])
 
     return _by_key(of_groups)
 
 
-def compared(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, name: str) -> DataFrame:
-    """``u, v, similar`` of pairs ``u, v, salt`` by their sets; ``texts`` has ``node, text``."""
+def meetings(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``u, v, apart``: among ``node, label`` and SIDES, all of the similarity, and few others, that have different labels."""
+
+    def tokens_of(batch: pa.RecordBatch) -> list[pa.Array]:
+        found = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
+        return [pa.array(np.concatenate(found)), batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), list(map(len, found)))))]
+
+    tokens = map_arrow(sets.join(members, "node", "left_semi").select("node", "found"), tokens_of, "token long, node long", 1000)
+    shared = tokens.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1")
+    shared = shared.groupBy("node").agg(F.collect_list(F.struct("n", "token")).alias("shared"))
+    schema = "token long, place long, node long, label long" + "".join(f", {c} long" for c in SIDES)
+    first = map_arrow(members.join(shared, "node").select("node", "label", *SIDES, "shared"), prefixes(similarity), schema)
+    found = first.repartition("token").sortWithinPartitions("token").mapInArrow(_meetings(similarity), MEETINGS)
+    return durable(found.groupBy("u", "v").agg(F.min("apart").alias("apart")), "meetings")
+
 
-    def sets_of(batch: pa.RecordBatch) -> list[pa.Array]:
+def sets_of(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """``node, found``: the nodes' sets; ``texts`` has ``node, text``."""
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
         sets: list[bytes] = []
         for _, found, counts in shingle_sets(batch.column(1), shingle):
             ends = np.cumsum(counts)
             sets += [found[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
         return [batch.column(0), pa.array(sets, pa.binary())]
 
+    return durable(map_arrow(texts.join(nodes, "node", "left_semi").select("node", "text"), run, "node long, found binary"), "sets")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float, name: str) -> DataFrame:
+    """``u, v, similar`` of pairs ``u, v, salt`` by their sets."""
+
     def compare(batch: pa.RecordBatch) -> list[pa.Array]:
         out = []
         for a, b in zip(batch.column(2), batch.column(3), strict=True):
@@ -250,8 +305,6 @@ def compared(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
             out.append(both >= similarity * (len(x) + len(y) - both))
         return [batch.column(0), batch.column(1), pa.array(out, pa.bool_())]
 
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    sets = durable(map_arrow(texts.join(wanted, "node", "left_semi").select("node", "text"), sets_of, "node long, found binary"), "sets")
     left = pairs.select("u", "salt").distinct().join(sets.select(F.col("node").alias("u"), F.col("found").alias("a")), "u")
     right = pairs.join(sets.select(F.col("node").alias("v"), F.col("found").alias("b")), "v")
     return durable(map_arrow(right.join(left, ["u", "salt"]).select("u", "v", "a", "b"), compare, "u long, v long, similar boolean"), name)
@@ -272,20 +325,35 @@ def links(classes: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     rows = classes.select(F.explode("bands").alias("key"), "node", *SIDES)
     dealt = rows.repartition("key").sortWithinPartitions("key")
     first = durable(dealt.mapInArrow(_candidates(similarity), LINKS), "candidates")
-    once = lambda found: found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("salt").alias("salt"))
-    near = durable(once(first.select("u", "v", "salt").union(simhash_candidates(classes))), "pairs")
-    seen = compared(near, texts, shingle, similarity, "compared")
+    found = first.select("u", "v", "salt").union(simhash_candidates(classes))
+    pairs = durable(found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("salt").alias("salt")), "pairs")
+    sets = sets_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), texts, shingle)
+    seen = compared(pairs, sets, similarity, "compared")
     in_forest = first.where("forest").select("key", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     again = durable(in_forest.join(seen.where("not similar"), ["u", "v"]).select("key").distinct(), "again")
-    begin, end = 0, NEAREST
-    while not again.isEmpty():
-        labels = stars(seen.where("similar").select("u", "v"), "exact-stars").select(F.col("u").alias("node"), F.col("v").alias("label"))
-        these = rows.join(again, "key", "left_semi").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), *SIDES)
-        found = durable(these.repartition("key").sortWithinPartitions("key").mapInArrow(_unconnected(similarity, begin, end), LINKS), "nearest")
-        again = durable(found.where("forest").select("key").distinct(), "again")
-        fresh = durable(once(found.where("not forest")).join(seen, ["u", "v"], "left_anti"), "more")
-        seen = seen.union(compared(fresh, texts, shingle, similarity, "compared"))
-        begin, end = end, FARTHER * end
+    if again.isEmpty():
+        return seen.where("similar").select("u", "v")
+    labelled = lambda: stars(seen.where("similar").select("u", "v"), "exact-stars").select(F.col("u").alias("node"), F.col("v").alias("label"))
+    labels = labelled()
+    these = in_forest.join(again, "key", "left_semi")
+    ends = these.select("key", F.col("u").alias("node")).union(these.select("key", "v")).distinct().join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    parted = ends.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
+    nodes = durable(ends.join(parted, "key", "left_semi").select("node", "label").distinct(), "parted")
+    members = nodes.join(classes.select("node", *SIDES), "node").select("node", "label", *SIDES)
+    left = meetings(members, sets, similarity).join(seen, ["u", "v"], "left_anti")
+    nearest, end = Window.partitionBy("u").orderBy("apart", "v"), NEAREST
+    left = durable(left.withColumn("place", F.row_number().over(nearest) - 1).withColumn("salt", F.floor(F.col("place") / TOGETHER)), "left")
+    few = NEAREST * nodes.count()
+    while not left.isEmpty():
+        at_once = left.count() <= few
+        seen = seen.union(compared((left if at_once else left.where(F.col("place") < end)).select("u", "v", "salt"), sets, similarity, "compared"))
+        if at_once:
+            break
+        labels = labelled()
+        root = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        left = left.where(F.col("place") >= end).join(root("u"), "u", "left").join(root("v"), "v", "left")
+        left = durable(left.where(F.coalesce("u_label", "u") != F.coalesce("v_label", "v")).select("u", "v", "apart", "place", "salt"), "left")
+        end *= FARTHER
     return seen.where("similar").select("u", "v")
 
 

@@ -165,3 +165,43 @@ def test_rounds_of_nearest_candidates_lose_no_link_and_compare_few(spark, monkey
     monkeypatch.setattr(near, "NEAREST", 4)
     assert kept_ids(spark, texts) == set(brute(texts))
     assert len(compared) > 2 and sum(compared) < 400 * 399 / 2 / 2
+
+
+def test_texts_below_the_similarity_are_joined_not_compared_pair_by_pair(spark, monkeypatch):
+    """Of a large group most of whose pairs lie just below 0.8, sets meet by what is rare: all links, and under a twentieth of the pairs."""
+    rng = random.Random(13)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(200)]
+    texts = []
+    for i in range(400):
+        words = list(texts[-1].split() if i % 10 == 1 else base)
+        for j in rng.sample(range(len(words)), 5 if i % 10 else rng.choice([2, 8])):
+            words[j] = f"v{i}_{j}"
+        texts.append(" ".join(words[rng.randint(0, 4) :]))
+    pairs, plain = [], near.compared
+
+    def counting(these, *rest):
+        pairs.append(these.count())
+        return plain(these, *rest)
+
+    monkeypatch.setattr(near, "compared", counting)
+    assert kept_ids(spark, texts) == set(brute(texts))
+    assert sum(pairs[1:]) < 400 * 399 / 2 / 20
+
+
+def test_bands_are_dealt_out_once(spark, monkeypatch):
+    """However many groups have refuted links, only the first search makes a row for each text's band."""
+    made, plain = [], near.F.explode
+    monkeypatch.setattr(near.F, "explode", lambda c: made.append(c) or plain(c))
+    plans, write = [], near.durable
+    monkeypatch.setattr(near, "durable", lambda df, name: plans.append((name, df._jdf.queryExecution().analyzed().toString())) or write(df, name))
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(200)]
+    texts = []
+    for _ in range(100):
+        words = list(base)
+        for i in rng.sample(range(200), rng.choice([2, 4, 5, 6, 8, 9])):
+            words[i] = f"v{rng.randint(0, 9999)}"
+        texts.append(" ".join(words))
+    assert kept_ids(spark, texts) == set(brute(texts))
+    assert any(name == "again" for name, _ in plans)
+    assert [name for name, plan in plans if "explode(bands" in plan] == ["candidates"]

@@ -17,14 +17,13 @@ Sizes of the sets and a long SimHash, with four standard deviations' allowance,
 drop most candidates that are not similar; the others are compared set by set.
 
 A band's group of more than ``SMALL`` gives a spanning forest of its candidates.
-Where an exact comparison refutes a link of a forest, and the exact links don't
-connect the group otherwise, its nodes' sets are joined by prefixes.  Shingles
-stand in the order of how many of these sets have them, rare ones first.  Of two
-similar sets the first shingle in common has no more before it than the threshold
-lets either miss, so a set is looked up by its first fifth at most, and a set
-that is not similar to what its group has in common mostly by shingles of its own,
-which no other set has.  So a forest costs no link, and sets below the threshold
-are not compared pair by pair.  Of more candidates than ``NEAREST`` a node, the
+Where an exact comparison refutes a link of a forest, the clusters that such
+forests connect, and the exact links don't, are searched by differences: each set
+is held as its difference from the cluster's hub, the shingles that most of its
+sets have.  Sets near the hub are linked with the one that is nearest; others are
+similar only if they share differences, and are looked up by the rarest of these.
+So a forest costs no link, and sets that lie just below the threshold are not
+compared pair by pair.  Of more candidates than ``NEAREST`` a node, the
 nearest are compared first, then ``FARTHER`` times as many, and so on; what a link
 connects by then is not compared.
 
@@ -211,28 +210,40 @@ def _candidates(similarity: float) -> Callable:
     return _by_key(of_groups)
 
 
-def least_overlap(sizes: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
-    """Shingles that similar sets of these sizes have in common at least."""
-    return np.ceil(similarity / (1 + similarity) * (sizes + others) - 1e-6)
+def differences() -> Callable:
+    """Of rows ``node, label, cluster, members``, SIDES, ``shared`` and ``hub``: the shingles in which a set differs from its cluster's hub.
 
-
-def prefixes(similarity: float) -> Callable:
-    """Of rows ``node, label``, SIDES and ``shared``: the shingles, and their places, by which similar sets can meet first.
-
-    ``shared`` has the set's shingles that other sets have too, and how many have
-    each; those of the set alone stand before them.
+    ``shared`` has the set's shingles that others of the cluster have too, and how
+    many have each, and ``hub`` those that most have.  Shingles of the set alone
+    stand before all others; a first row of the place -1 names the cluster.
     """
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        sizes, shared = int64s(batch.column(2)), batch.column(batch.num_columns - 1)
-        counts, flat = shared.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), shared.flatten()
-        n, tokens = (int64s(flat.field(k)) for k in ("n", "token"))
-        rows = np.repeat(np.arange(batch.num_rows), counts)
-        order = np.lexsort((tokens, n, rows))
-        places = sizes[rows] - counts[rows] + runs(np.zeros(len(counts), np.int64), counts)
-        first = np.flatnonzero(sizes[rows] - places >= np.ceil(similarity * sizes[rows] - 1e-6))  # with the smallest set that can be similar
-        take = pa.array(rows[first])
-        return [pa.array(tokens[order][first]), pa.array(places[first]), *(batch.column(k).take(take) for k in range(batch.num_columns - 1))]
+        rows_of = np.arange(batch.num_rows)
+        clusters, members, sizes = (int64s(batch.column(k)) for k in (2, 3, 4))
+        lists = [batch.column(batch.num_columns - k) for k in (2, 1)]
+        counts = [x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+        (own_n, own), (hub_n, hub) = ([int64s(x.flatten().field(k)) for k in ("n", "token")] for x in lists)
+        row, hub_row = (np.repeat(rows_of, c) for c in counts)
+        common = 2 * own_n > members[row]
+        # of the hub's shingles those are missing that the set's own don't have: twice there after a sort, they fall out
+        token, of, n = np.concatenate([own[common], hub]), np.concatenate([row[common], hub_row]), np.concatenate([np.zeros(common.sum(), np.int64), (members[hub_row] - hub_n)])
+        order = np.lexsort((n, token, of))
+        token, of, n = token[order], of[order], n[order]
+        same = np.zeros(len(token) + 1, bool)
+        same[1:-1] = (token[1:] == token[:-1]) & (of[1:] == of[:-1])
+        missing = ~(same[1:] | same[:-1])
+        token, of, n = np.concatenate([own[~common], token[missing]]), np.concatenate([row[~common], of[missing]]), np.concatenate([own_n[~common], n[missing]])
+        order = np.lexsort((token, n, of))
+        token, of = token[order], of[order]
+        listed = np.bincount(of, minlength=batch.num_rows)
+        alone = sizes - counts[0]
+        places = alone[of] + runs(np.zeros(len(listed), np.int64), listed)
+        salt = mix(clusters.view(np.uint64))
+        keys = np.concatenate([salt, mix(token.view(np.uint64) + salt[of])]).view(np.int64)
+        of = np.concatenate([rows_of, of])
+        take = pa.array(of)
+        return [pa.array(keys), pa.array(np.concatenate([np.full(batch.num_rows, -1), places])), pa.array((alone + listed)[of]), *(batch.column(k).take(take) for k in (0, 1, *range(4, batch.num_columns - 2)))]
 
     return run
 
@@ -241,24 +252,40 @@ MEETINGS = "u long, v long, apart long"
 
 
 def _meetings(similarity: float) -> Callable:
-    """Of rows ``token, place, node, label`` and SIDES: candidates that meet at a shingle and that no link connects."""
+    """Of rows ``key, place, differ, node, label`` and SIDES: candidates that meet at a difference and that no link connects.
+
+    Sets that differ from a hub by a and b shingles differ by a + b at most.  If
+    the similarity allows that, both are similar to the set that differs least
+    for its size, and are compared with it; if not, they have as many differences
+    in common as it takes, and the first of them has enough behind it.
+    """
 
     def of_groups(columns: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, places, nodes, labels, sizes = columns[:5]
-        near = _Near(sizes, columns[5:], similarity)
-        edges = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
+        keys, places, differ, nodes, labels, sizes = columns[:6]
+        near = _Near(sizes, columns[6:], similarity)
+        over = differ - (1 - similarity) / (1 + similarity) * sizes  # two similar sets differ by less than the sum of what is subtracted
+        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
         found = []
+
+        def add(i: int, others: np.ndarray) -> None:
+            others = others[near(i, others)]
+            found.append((np.minimum(nodes[i], nodes[others]), np.maximum(nodes[i], nodes[others]), near.apart(i, others)))
+
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             own, counts = np.unique(labels[lo:hi], return_counts=True)
             if len(own) == 1:
                 continue
-            every, rest = np.arange(lo, hi), sizes[lo:hi] - places[lo:hi]
-            for i in np.flatnonzero(labels[lo:hi] != own[counts.argmax()]).tolist():  # a pair of two labels has one of these
-                i += lo
-                enough = np.minimum(sizes[i] - places[i], rest) >= least_overlap(sizes[i], sizes[lo:hi], similarity)
-                others = every[enough & (labels[lo:hi] != labels[i])]
-                others = others[near(i, others)]
-                found.append((np.minimum(nodes[i], nodes[others]), np.maximum(nodes[i], nodes[others]), near.apart(i, others)))
+            every = np.arange(lo, hi)
+            if places[lo:hi].min() < 0:
+                firsts = every[places[lo:hi] < 0]
+                i = int(firsts[np.lexsort((nodes[firsts], over[firsts]))[0]])
+                add(i, firsts[(over[firsts] + over[i] <= 1e-6) & (labels[firsts] != labels[i])])
+                every = every[places[lo:hi] >= 0]
+            rest = differ[every] - places[every]
+            for i in every[labels[every] != own[counts.argmax()]].tolist():  # a pair of two labels has one of these
+                sums = over[every] + over[i]
+                enough = np.minimum(differ[i] - places[i], rest) >= np.ceil(sums / 2 - 1e-6)
+                add(i, every[enough & (sums > -1e-6) & (labels[every] != labels[i])])
         columns = [np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else [()] * 3)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "v", "apart"])
 
@@ -266,18 +293,23 @@ def _meetings(similarity: float) -> Callable:
 
 
 def meetings(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``u, v, apart``: among ``node, label`` and SIDES, all of the similarity, and few others, that have different labels."""
+    """``u, v, apart``: candidates with different labels that connect all similar sets of a cluster; of ``node, label, cluster`` and SIDES."""
 
     def tokens_of(batch: pa.RecordBatch) -> list[pa.Array]:
-        found = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
-        return [pa.array(np.concatenate(found)), batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), list(map(len, found)))))]
-
-    tokens = map_arrow(sets.join(members, "node", "left_semi").select("node", "found"), tokens_of, "token long, node long", 1000)
-    shared = tokens.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1")
-    shared = shared.groupBy("node").agg(F.collect_list(F.struct("n", "token")).alias("shared"))
-    schema = "token long, place long, node long, label long" + "".join(f", {c} long" for c in SIDES)
-    first = map_arrow(members.join(shared, "node").select("node", "label", *SIDES, "shared"), prefixes(similarity), schema)
-    found = first.repartition("token").sortWithinPartitions("token").mapInArrow(_meetings(similarity), MEETINGS)
+        found = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(3)]
+        take = pa.array(np.repeat(np.arange(len(found)), list(map(len, found))))
+        return [pa.array(np.concatenate(found)), *(batch.column(k).take(take) for k in range(3))]
+
+    members = durable(members.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("cluster"))), "members")
+    tokens = map_arrow(members.select("node", "cluster", "members").join(sets, "node").select("node", "cluster", "members", "found"), tokens_of, "token long, node long, cluster long, members long", 1000)
+    shared = durable(tokens.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cluster", "token"))).where("n > 1"), "shared")
+    hubs = shared.where("2 * n > members").groupBy("cluster", "token").agg(F.min("n").alias("n")).groupBy("cluster").agg(F.collect_list(F.struct("n", "token")).alias("hub"))
+    own = shared.groupBy("node").agg(F.collect_list(F.struct("n", "token")).alias("shared"))
+    described = members.join(own, "node").join(hubs, "cluster", "left")
+    described = described.select("node", "label", "cluster", "members", *SIDES, "shared", F.coalesce("hub", F.array().cast("array<struct<n:bigint,token:bigint>>")).alias("hub"))
+    schema = "key long, place long, differ long, node long, label long" + "".join(f", {c} long" for c in SIDES)
+    first = map_arrow(described, differences(), schema)
+    found = first.repartition("key").sortWithinPartitions("key").mapInArrow(_meetings(similarity), MEETINGS)
     return durable(found.groupBy("u", "v").agg(F.min("apart").alias("apart")), "meetings")
 
 
@@ -336,10 +368,12 @@ def links(classes: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     labelled = lambda: stars(seen.where("similar").select("u", "v"), "exact-stars").select(F.col("u").alias("node"), F.col("v").alias("label"))
     labels = labelled()
     these = in_forest.join(again, "key", "left_semi")
-    ends = these.select("key", F.col("u").alias("node")).union(these.select("key", "v")).distinct().join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    parted = ends.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-    nodes = durable(ends.join(parted, "key", "left_semi").select("node", "label").distinct(), "parted")
-    members = nodes.join(classes.select("node", *SIDES), "node").select("node", "label", *SIDES)
+    clusters = stars(these.select("u", "v"), "clusters").select(F.col("u").alias("node"), F.col("v").alias("cluster"))
+    ends = these.select(F.col("u").alias("node")).union(these.select("v")).distinct().join(labels, "node", "left").join(clusters, "node", "left")
+    ends = durable(ends.select("node", F.coalesce("label", "node").alias("label"), F.coalesce("cluster", "node").alias("cluster")), "ends")
+    parted = ends.groupBy("cluster").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("cluster")
+    nodes = durable(ends.join(parted, "cluster", "left_semi").select("node", "label", "cluster"), "parted")
+    members = nodes.join(classes.select("node", *SIDES), "node").select("node", "label", "cluster", *SIDES)
     left = meetings(members, sets, similarity).join(seen, ["u", "v"], "left_anti")
     nearest, end = Window.partitionBy("u").orderBy("apart", "v"), NEAREST
     left = durable(left.withColumn("place", F.row_number().over(nearest) - 1).withColumn("salt", F.floor(F.col("place") / TOGETHER)), "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +14,8 @@ from millrace.workspace import new_path
 
 #: Bytes of one Arrow batch sent to a Python worker; bounds a worker's memory.
 ARROW_BATCH_BYTES = "8m"
+#: A Python worker that has more bytes in memory gives back what a task has freed.
+RELEASED_FROM = 100_000_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -38,6 +42,34 @@ def rows_below(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+def resident() -> int:
+    """Bytes that this process has in memory; 0 where the system doesn't say."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    except OSError:
+        return 0
+
+
+def tidy(run: Callable) -> Callable:
+    """A function for ``mapInArrow`` that, when a task ends, gives the memory it has freed back to the system.
+
+    Workers wait for the next task, and allocators keep what was freed; beside
+    the JVM and another worker that is memory which the executor lacks.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if resident() > RELEASED_FROM:
+                pa.default_memory_pool().release_unused()
+                if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc only
+                    trim(0)
+
+    return tidied
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str, rows: int = 1 << 30) -> DataFrame:
     """``mapInArrow`` for a function of one batch (of at most so many rows) to a list of columns, a batch or None."""
     names = [field.split()[0] for field in schema.split(",")]
@@ -49,7 +81,7 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str, rows: int = 1 << 30) ->
                 if out is not None:
                     yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_arrays(out, names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def int64s(column: pa.Array) -> np.ndarray:

@@ -14,6 +14,7 @@ encoded whole.
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
@@ -26,6 +27,8 @@ from tokenizers import Tokenizer, pre_tokenizers
 from millrace.llm._common import rows_below
 from millrace.llm._text import mix, raw, runs
 
+#: A task has one core; the library's own threads would each hold memory of their own.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: A worker process keeps the ids of so many pieces, and so many ids, before it begins anew.
 KEPT_PIECES, KEPT_IDS = 2_000_000, 1 << 24
 #: Bytes of text whose pieces are looked up together.
@@ -34,25 +37,35 @@ GROUP_BYTES = 1 << 18
 WORDS = 3
 #: Pieces that are encoded joined.
 JOINED = 64
+#: Entries that are placed anew at once when the table grows.
+PLACED = 1 << 16
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
 
 
 def vocabulary(tokenizer: Tokenizer) -> list[str]:
     """Tokens in the order of their ids."""
-    out = [""] * (max(tokenizer.get_vocab().values(), default=-1) + 1)
-    for token, i in tokenizer.get_vocab().items():
+    known = tokenizer.get_vocab()
+    out = [""] * (max(known.values(), default=-1) + 1)
+    for token, i in known.items():
         out[i] = token
     return out
 
 
+def longer(array: np.ndarray, used: int, size: int) -> np.ndarray:
+    """The array's used places in one of so many; memory beyond them is not touched."""
+    out = np.zeros((*array.shape[:-1], size), array.dtype)
+    out[..., :used] = array[..., :used]
+    return out
+
+
 class Table:
     """Ids by a piece's bytes, with open addressing; a key is the bytes themselves, padded with zeros."""
 
     def __init__(self) -> None:
         self.n = self.n_ids = 0
         self.keys = np.zeros((WORDS, 1 << 12), np.uint64)
-        self.at = np.zeros(1 << 12, np.int64)
-        self.counts = np.zeros(1 << 12, np.int64)
+        self.at = np.zeros(1 << 12, np.uint32)
+        self.counts = np.zeros(1 << 12, np.uint32)
         self.ids = np.zeros(1 << 14, np.uint32)
         self.slots = np.full(1 << 13, -1, np.int32)
 
@@ -91,17 +104,22 @@ class Table:
     def add(self, keys: np.ndarray, found: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """New entries, one after another in ``ids``; the keys (of those ``found`` by them) are distinct and not there."""
         entries = np.arange(self.n, self.n + len(counts))
-        while self.n + len(counts) > len(self.at):
-            self.keys, self.at, self.counts = np.pad(self.keys, ((0, 0), (0, len(self.at)))), np.pad(self.at, (0, len(self.at))), np.pad(self.counts, (0, len(self.counts)))
+        size = len(self.at)
+        while self.n + len(counts) > size:
+            size *= 2
+        if size > len(self.at):
+            for name in ("keys", "at", "counts"):
+                setattr(self, name, longer(getattr(self, name), self.n, size))
         if self.n_ids + len(ids) > len(self.ids):
-            self.ids = np.pad(self.ids, (0, max(len(self.ids), len(ids))))
+            self.ids = longer(self.ids, self.n_ids, len(self.ids) + max(len(self.ids), len(ids)))
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
         self.at[entries], self.counts[entries], self.keys[:, entries] = self.n_ids + np.cumsum(counts) - counts, counts, keys
         self.n, self.n_ids = self.n + len(counts), self.n_ids + len(ids)
         if 2 * self.n > len(self.slots):
-            held = self.slots[self.slots >= 0].astype(np.int64)
-            self.slots = np.full(4 * len(self.slots), -1, np.int32)
-            self._place(held)
+            held = self.slots[self.slots >= 0]
+            self.slots = np.full(1 << (2 * self.n - 1).bit_length(), -1, np.int32)
+            for lo in range(0, len(held), PLACED):
+                self._place(held[lo : lo + PLACED].astype(np.int64))
         self._place(entries[found])
         return entries
 
@@ -199,9 +217,9 @@ class Pieces:
             ends[np.searchsorted(starts, bounds[i]) - 1 : np.searchsorted(starts, bounds[i])] = bounds[i]
         entry = self._entries(data, text, starts, ends)
         first = np.searchsorted(starts, bounds)
-        sizes = self.table.counts[entry]
+        sizes = self.table.counts[entry].astype(np.int64)
         sums = np.concatenate([[0], np.cumsum(sizes)])[first]
-        ids = self.table.ids[runs(self.table.at[entry], sizes)]
+        ids = self.table.ids[runs(self.table.at[entry].astype(np.int64), sizes)]
         n = np.diff(sums)
         if odd:
             own, counts = self.whole([text[bounds[i] : bounds[i + 1]].decode() for i in odd])
@@ -290,7 +308,7 @@ class Encoder(Pieces):
             # bytes as the vocabulary writes them; joined pieces are parted at line breaks, which none of them has
             letters = [pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(b))[0][0] for b in range(128)]
             self.chars = {b: letters[b] for b in range(128)} | {b: _high(b) for b in range(128, 256)}
-            self.parted = Tokenizer.from_file(path)
+            self.parted = Tokenizer(tokenizer.model)  # the same vocabulary and merges, held once
             self.parted.pre_tokenizer = pre_tokenizers.Split(self.chars[10], "isolated")
             self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 

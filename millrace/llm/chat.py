@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import prepare
+from millrace.llm._common import prepare, tidy
 from millrace.llm._tokens import Encoder
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
@@ -160,7 +160,7 @@ def format_windows(turns: DataFrame, tokenizer_path: str, budget: int = 2048, hi
     prepare(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return ordered.mapInArrow(_format(tokenizer_path, budget, history), WINDOWS)
+    return ordered.mapInArrow(tidy(_format(tokenizer_path, budget, history)), WINDOWS)
 
 
 class _Digest:
@@ -206,4 +206,4 @@ def digests(windows: DataFrame) -> DataFrame:
         if now:
             yield pa.RecordBatch.from_pylist([now.row()], schema)
 
-    return windows.mapInArrow(run, ", ".join(f"{n} {'string' if n.endswith('sha256') else 'long'}" for n in names))
+    return windows.mapInArrow(tidy(run), ", ".join(f"{n} {'string' if n.endswith('sha256') else 'long'}" for n in names))

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import simhash
-from millrace.llm._common import durable, int64s, map_arrow, prepare
+from millrace.llm._common import durable, int64s, map_arrow, prepare, tidy
 from millrace.llm._text import Block, blocks, combine, mix, runs, spread
 from millrace.llm.components import stars
 
@@ -309,7 +309,7 @@ def meetings(members: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     described = described.select("node", "label", "cluster", "members", *SIDES, "shared", F.coalesce("hub", F.array().cast("array<struct<n:bigint,token:bigint>>")).alias("hub"))
     schema = "key long, place long, differ long, node long, label long" + "".join(f", {c} long" for c in SIDES)
     first = map_arrow(described, differences(), schema)
-    found = first.repartition("key").sortWithinPartitions("key").mapInArrow(_meetings(similarity), MEETINGS)
+    found = first.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_meetings(similarity)), MEETINGS)
     return durable(found.groupBy("u", "v").agg(F.min("apart").alias("apart")), "meetings")
 
 
@@ -356,7 +356,7 @@ def links(classes: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     """``u, v``: links that connect all candidates of the similarity, each of them compared exactly."""
     rows = classes.select(F.explode("bands").alias("key"), "node", *SIDES)
     dealt = rows.repartition("key").sortWithinPartitions("key")
-    first = durable(dealt.mapInArrow(_candidates(similarity), LINKS), "candidates")
+    first = durable(dealt.mapInArrow(tidy(_candidates(similarity)), LINKS), "candidates")
     found = first.select("u", "v", "salt").union(simhash_candidates(classes))
     pairs = durable(found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("salt").alias("salt")), "pairs")
     sets = sets_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), texts, shingle)

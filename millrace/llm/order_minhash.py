@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import int64s, prepare
+from millrace.llm._common import int64s, prepare, tidy
 from millrace.llm._text import Block, blocks, combine, mix, spread
 
 K = 2
@@ -114,7 +114,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(as_text(signatures(b.column(1))))], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run), "doc_id long, fingerprint string")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -205,4 +205,4 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     is_first = (of_part(firsts[p].key if p in firsts else 0 for p in whole) == F.col("key")) & (of_part(firsts[p].h if p in firsts else 0 for p in whole) == F.col("h"))
     sent = rows.withColumn("place", F.explode(F.when(is_first, F.array(own, other)).otherwise(F.array(own)))).select("doc_id", "text", F.col("place.guard").alias("guard"), "key", "h", "place.to")
     moved = sent.repartitionById(len(cuts) + 1, F.col("to")).sortWithinPartitions("guard", "key", "h").select("doc_id", "text", "guard")
-    return moved.mapInArrow(_pairs, PAIRS)
+    return moved.mapInArrow(tidy(_pairs), PAIRS)

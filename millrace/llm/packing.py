@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import durable, int64s, prepare
+from millrace.llm._common import durable, int64s, prepare, tidy
 from millrace.llm._tokens import Encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, bin_fill long"
@@ -125,13 +125,13 @@ def pack(
     prepare(docs.sparkSession)
     slack = max_len // 128 if slack is None else slack
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = durable(source.mapInArrow(_pieces(tokenizer_path, max_len, end_id), PIECES), "pieces")
+    pieces = durable(source.mapInArrow(tidy(_pieces(tokenizer_path, max_len, end_id)), PIECES), "pieces")
     open_bins = pieces.where((F.col("offset") == 0) & (F.col("bin_fill") <= max_len - slack)).select("bin", F.col("bin_fill").alias("fill"))
     moves = None
     n = open_bins.count()
     while n > 1:
         groups = -(-n // PER_TASK)
-        merged = durable(open_bins.repartition(groups, F.xxhash64("bin")).mapInArrow(_merge(max_len), "bin long, into long, shift long, fill long"), "bins")
+        merged = durable(open_bins.repartition(groups, F.xxhash64("bin")).mapInArrow(tidy(_merge(max_len)), "bin long, into long, shift long, fill long"), "bins")
         step = merged.select(F.col("bin").alias("from_bin"), F.col("into").alias("next"), F.col("shift").alias("more"))
         if moves is None:
             moves = step.select(F.col("from_bin").alias("bin"), F.col("next").alias("into"), F.col("more").alias("shift"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import durable, int64s, map_arrow, prepare
+from millrace.llm._common import durable, int64s, map_arrow, prepare, tidy
 
 #: Candidate boundaries tried for each splitter in a round.
 PROBES = 32
@@ -84,7 +84,7 @@ def count_between(rows: DataFrame, keys: list[Key]) -> tuple[np.ndarray, np.ndar
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, size[some], n[some], low[some], high[some])], names=names)
 
-    counted = rows.select("high", "low", "size").mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy("i")
+    counted = rows.select("high", "low", "size").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names)).groupBy("i")
     found = counted.agg(F.sum("size").alias("size"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
     size, n = np.zeros(len(keys) + 1, np.int64), np.zeros(len(keys) + 1, np.int64)
     low, high = np.full(len(keys) + 1, HIGHEST), np.full(len(keys) + 1, LOWEST)
@@ -192,9 +192,9 @@ def shard_rows(rows: DataFrame, shards: int, tolerance: float = 0.002) -> DataFr
             yield b.append_column("shard", pa.array(shard[at])).append_column("slot", pa.array(slots))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    ranged = rows.mapInArrow(lambda it: (place(b) for b in it), f"{schema}, range_no long")
+    ranged = rows.mapInArrow(tidy(lambda it: (place(b) for b in it)), f"{schema}, range_no long")
     exchanged = ranged.repartitionById(len(fine) + 1, F.col("range_no").cast("int")).sortWithinPartitions("high", "low")
-    return exchanged.mapInArrow(slot, f"{schema}, range_no long, shard long, slot long")
+    return exchanged.mapInArrow(tidy(slot), f"{schema}, range_no long, shard long, slot long")
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002) -> DataFrame:

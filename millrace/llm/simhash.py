@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import durable, int64s, map_arrow, prepare
+from millrace.llm._common import durable, int64s, map_arrow, prepare, tidy
 from millrace.llm._text import mix
 from millrace.llm.components import stars
 
@@ -176,7 +176,7 @@ def part_counts(classes: DataFrame, parts: list[list[int]]) -> np.ndarray:
         p, v = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(v), pa.array(total[p, v])], names=["p", "v", "n"])
 
-    found = classes.select("fp").mapInArrow(run, "p long, v long, n long").groupBy("p", "v").agg(F.sum("n").alias("n")).toArrow()
+    found = classes.select("fp").mapInArrow(tidy(run), "p long, v long, n long").groupBy("p", "v").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((PARTS, 1 << WIDTH), np.int64)
     counts[found["p"].to_numpy(), found["v"].to_numpy()] = found["n"].to_numpy()
     return counts
@@ -432,7 +432,7 @@ def links(classes: DataFrame, tau: int = 3, confirm: Confirm | None = None) -> D
     if hot.any():
         done = done.union(rows.where(F.col("level") == level))
     grouped = done.select("key", "role", *columns).repartition("key").sortWithinPartitions("key")
-    return grouped.mapInArrow(_verify(tau, confirm.most if confirm else None), "u long, v long").distinct()
+    return grouped.mapInArrow(tidy(_verify(tau, confirm.most if confirm else None)), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tau: int = 3, confirm: Confirm | None = None) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import durable, int64s, map_arrow, prepare
+from millrace.llm._common import durable, int64s, map_arrow, prepare, tidy
 from millrace.llm._text import Block, blocks, combine, mix, runs
 from millrace.llm.fm_index import FMIndex
 
@@ -379,7 +379,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = moved.join(of_doc, (F.col("rank") == F.col("r")) & (F.col("h") == F.col("g")), "left").drop("r", "g")
     segments = map_arrow(joined, _segment_rows(window, shards), "part int, payload binary")
     sharded = segments.repartitionById(task_count(shards), F.col("part")).select("payload")
-    least = sharded.mapInArrow(_shard_results(window), LEAST)
+    least = sharded.mapInArrow(tidy(_shard_results(window)), LEAST)
     occurrences = map_arrow(joined, _occurrence_rows(window), "id_a long, id_b long, rank long, h long, first int")
     hits = occurrences.join(least, ["id_a", "id_b"]).select("rank", "h", F.expr("transform(filter(transform(least, (x, i) -> IF(x < rank, i, -1)), i -> i >= 0), i -> i + first)").alias("at"))
     removed = hits.where("size(at) > 0").groupBy(F.col("rank").alias("r"), F.col("h").alias("g")).agg(F.flatten(F.collect_list("at")).alias("removed"))

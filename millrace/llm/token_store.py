@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import int64s, prepare, rows_below
+from millrace.llm._common import int64s, prepare, rows_below, tidy
 from millrace.llm._text import mix
 from millrace.llm._tokens import Encoder
 
@@ -201,7 +201,7 @@ def write_store(docs: DataFrame, uri: str, tokenizer_path: str, end_id: int, sha
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = source.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     schema = "shard long, docs long, ids long, first long, last long, null_first boolean, null_last boolean"
-    rows = sorted((r.asDict() for r in ordered.mapInArrow(_writer(uri, tokenizer_path, end_id, kind), schema).collect()), key=lambda r: r["shard"])
+    rows = sorted((r.asDict() for r in ordered.mapInArrow(tidy(_writer(uri, tokenizer_path, end_id, kind)), schema).collect()), key=lambda r: r["shard"])
     start = 0
     for r in rows:
         r["start"] = start
@@ -295,5 +295,5 @@ def read_keys(spark: SparkSession, uri: str, keys: DataFrame, key_col: str = "do
     if not manifest["shards"]:
         return spark.createDataFrame([], schema)
     distinct = keys.select(F.col(key_col).cast("long").alias("doc_id")).distinct()
-    placed = distinct.mapInArrow(_shard_of(manifest), "doc_id long, shard long").repartition(len(manifest["shards"]), "shard").sortWithinPartitions("shard", "doc_id")
-    return placed.mapInArrow(_reader(uri, manifest, names), schema)
+    placed = distinct.mapInArrow(tidy(_shard_of(manifest)), "doc_id long, shard long").repartition(len(manifest["shards"]), "shard").sortWithinPartitions("shard", "doc_id")
+    return placed.mapInArrow(tidy(_reader(uri, manifest, names)), schema)

@@ -14,13 +14,17 @@ from millrace.workspace import new_path
 
 #: Bytes of one Arrow batch sent to a Python worker; bounds a worker's memory.
 ARROW_BATCH_BYTES = "8m"
+#: Rows that a scan holds at once: with 4096, a column of texts is one array of many MB, for which the JVM's heap must grow.
+SCAN_ROWS = 512
 #: A Python worker that has more bytes in memory gives back what a task has freed.
 RELEASED_FROM = 100_000_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches of this session; returns the session."""
+    """Bound the Arrow batches and the scans' batches of this session; returns the session."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
+    rows = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.set(rows, str(min(int(spark.conf.get(rows)), SCAN_ROWS)))
     return spark
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from millrace.llm._common import map_arrow
+from millrace.llm._common import map_arrow, prepare
 from millrace.llm._tokens import WORDS, Table
 
 KEPT = []
@@ -55,3 +55,14 @@ def test_a_table_of_pieces_is_compact():
     entries = table.find(keys)
     assert entries[-1] == -1 and np.array_equal(table.ids[table.at[entries[:-1]]], np.arange(n)) and (table.counts[entries[:-1]] == 1).all()
     assert sum(x.nbytes for x in (table.keys, table.at, table.counts, table.ids, table.slots)) < 95 * n
+
+
+def test_scans_hold_few_rows_of_texts_at_once(spark):
+    rows = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(rows)
+    try:
+        for own, want in ((4096, 512), (100, 100)):
+            spark.conf.set(rows, str(own))
+            assert prepare(spark).conf.get(rows) == str(want)
+    finally:
+        spark.conf.set(rows, before)
